@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,26 @@ def _clean() -> None:
             pass
 
 
+_shipped: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the executors' Python can import this package: it is sent along, once for each application."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _shipped:
+        top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        base = os.path.join(tempfile.mkdtemp(prefix="cellweave-"), "cellweave_code.zip")
+        with zipfile.ZipFile(base, "w") as out:
+            for folder in (top, os.path.dirname(os.path.abspath(__file__))):
+                for name in sorted(os.listdir(folder)):
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        out.write(path, os.path.relpath(path, os.path.dirname(top)))
+        context.addPyFile(base)
+        _shipped.add(context.applicationId)
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
     spark = df.sparkSession

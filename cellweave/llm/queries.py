@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .quality_rules import quality_rules
+from .token_files import token_files
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +17,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files)}
 ORACLE_SQL = {"op1_quality_rules": sql.op1()}
