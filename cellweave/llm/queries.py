@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .mixing import mixed_sizes
+from .pieces import sentence_pieces
 from .quality_rules import quality_rules
 from .token_files import token_files
 
@@ -21,5 +23,13 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files)}
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(_read(spark, sf_dir, "documents"))
+
+
+def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op5_sentence_pieces)}
 ORACLE_SQL = {"op1_quality_rules": sql.op1()}
