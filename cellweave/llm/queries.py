@@ -9,6 +9,7 @@ from .mixing import mixed_sizes
 from .pieces import sentence_pieces
 from .quality_rules import quality_rules
 from .token_files import token_files
+from .url_filter import url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,9 +28,13 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(_read(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_read(spark, sf_dir, "pages")).drop("trust", "distrust")
+
+
 def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op5_sentence_pieces)}
-ORACLE_SQL = {"op1_quality_rules": sql.op1()}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces)}
+ORACLE_SQL = {"op1_quality_rules": sql.op1(), "op4_url_filter": sql.op4()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as q
+from . import url_filter as u
 
 
 def op1() -> str:
@@ -39,3 +40,36 @@ a AS (SELECT stratum, signal, min(cut) AS cut FROM k
 x AS (SELECT f.doc_id, bool_or(coalesce(value > cut, FALSE)) AS over FROM f LEFT JOIN a USING (stratum, signal) GROUP BY f.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept, stratum
 FROM s JOIN x USING (doc_id)"""
+
+
+def op4() -> str:
+    link = u.LINK.replace("'", "''")
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in u.RULES)
+    steps = ""
+    for k in range(u.STEPS):
+        last = f"r{k - 1}" if k else "start"
+        steps += f"""
+r{k} AS (SELECT kind, host, sum(r) AS r FROM (SELECT e.kind, e.dest AS host, {u.DAMPING} * x.r * e.w AS r FROM {last} x JOIN edges e USING (kind, host)
+       UNION ALL SELECT kind, host, {1 - u.DAMPING} * r FROM start) GROUP BY kind, host),"""
+    return rf"""
+WITH p AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+rules(v, rh, rp) AS (VALUES {rules}),
+m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
+      FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+j AS (SELECT h.page_id, host, path, rule, v FROM h LEFT JOIN m USING (page_id)),
+seeds AS (SELECT host, (count(*) FILTER (v = 'allow')) / count(*) AS t, (count(*) FILTER (v = 'block')) / count(*) AS d FROM j WHERE host <> '' GROUP BY host),
+links0 AS (SELECT src, regexp_replace(translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':[0-9]+$', '') AS dst
+           FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS dst FROM h)),
+linked AS (SELECT src, dst, count(*)::DOUBLE AS w FROM links0 WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
+hosts AS (SELECT host AS src FROM h WHERE host <> '' UNION SELECT dst FROM linked),
+up AS (SELECT DISTINCT src, regexp_replace(src, '^[^.]*\.', '') AS dst FROM hosts WHERE src LIKE '%.%.%'),
+links AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM linked UNION ALL SELECT src, dst, 1.0 FROM up UNION ALL SELECT dst, src, 1.0 FROM up) GROUP BY src, dst),
+edges AS (SELECT 't' AS kind, src AS host, dst AS dest, w / sum(w) OVER (PARTITION BY src) AS w FROM links
+          UNION ALL SELECT 'd', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM links),
+start AS (SELECT 't' AS kind, host, t AS r FROM seeds WHERE t > 0 UNION ALL SELECT 'd', host, d FROM seeds WHERE d > 0),{steps}
+s AS (SELECT host, sum(CASE WHEN kind = 't' THEN r ELSE 0 END) AS t, sum(CASE WHEN kind = 'd' THEN r ELSE 0 END) AS d FROM r{u.STEPS - 1} GROUP BY host)
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN coalesce(d, 0) > {u.THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) AND coalesce(d, 0) >= {u.LEAST} THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN s USING (host)"""
