@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .mixing import mixed_sizes
+from .ngram_join import ngram_join
 from .pieces import sentence_pieces
 from .quality_rules import quality_rules
 from .token_files import token_files
@@ -36,5 +37,9 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces)}
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join)}
 ORACLE_SQL = {"op1_quality_rules": sql.op1(), "op4_url_filter": sql.op4()}
