@@ -33,21 +33,39 @@ class _Memory(dict):
 class Encoder:
     """Ids, or the character spans of tokens, for many texts; both as bytes of little-endian numbers."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.most = most
         self._specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self._leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        self._leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self._ids_of, self._spans_of = _Memory(), _Memory()
 
     def _batch_ids(self, stretches: list[str]) -> list[bytes]:
-        from array import array
+        """Stretches that are a space and then none are encoded as one text; ids that begin with a space part them."""
+        import numpy as np
 
-        kind = "H" if self.width == 2 else "I"
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+        joint = [s for s in stretches if s[:1] == " " and len(s) > 1 and s.isprintable() and " " not in s[1:]]
+        if len(joint) < len(stretches) or not joint:
+            rest = [s for s in stretches if not (s[:1] == " " and len(s) > 1 and s.isprintable() and " " not in s[1:])]
+            kind = f"<u{self.width}"
+            found = dict(zip(rest, (np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        else:
+            found = {}
+        if joint:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(joint)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            cuts = [*(np.flatnonzero(self._leads[ids]) * self.width).tolist(), len(ids) * self.width]
+            raw = ids.tobytes()
+            if len(cuts) != len(joint) + 1:
+                raise ValueError("ids do not part at spaces")
+            found.update(zip(joint, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        return [found[s] for s in stretches]
 
     def _batch_spans(self, stretches: list[str]) -> list[bytes]:
         from array import array
