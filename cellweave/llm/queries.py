@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .mixing import mixed_sizes
 from .ngram_join import ngram_join
+from .ordinal import quality_classifier
 from .pieces import sentence_pieces
 from .quality_rules import quality_rules
 from .token_files import token_files
@@ -41,5 +42,9 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join)}
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join, op7_quality_classifier)}
 ORACLE_SQL = {"op1_quality_rules": sql.op1(), "op4_url_filter": sql.op4()}
