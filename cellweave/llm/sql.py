@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules as q
+from . import topk
 from . import url_filter as u
 
 
@@ -73,3 +74,13 @@ s AS (SELECT host, sum(CASE WHEN kind = 't' THEN r ELSE 0 END) AS t, sum(CASE WH
 SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN coalesce(d, 0) > {u.THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) AND coalesce(d, 0) >= {u.LEAST} THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN s USING (host)"""
+
+
+def op9() -> str:
+    return f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.e, x.e), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % {topk.EVERY} = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= {topk.K}"""
