@@ -13,6 +13,7 @@ from .quality_rules import quality_rules
 from .token_files import token_files
 from .topk import top_k
 from .url_filter import url_filter
+from .warc import warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,9 +48,13 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc(_read(spark, sf_dir, "pages"))
+
+
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join, op7_quality_classifier, op9_top_k)}
-ORACLE_SQL = {"op1_quality_rules": sql.op1(), "op4_url_filter": sql.op4(), "op9_top_k": sql.op9()}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join, op7_quality_classifier, op8_warc, op9_top_k)}
+ORACLE_SQL = {"op1_quality_rules": sql.op1(), "op4_url_filter": sql.op4(), "op8_warc": sql.op8(), "op9_top_k": sql.op9()}

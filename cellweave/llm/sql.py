@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import quality_rules as q
 from . import topk
 from . import url_filter as u
+from . import warc
 
 
 def op1() -> str:
@@ -84,3 +85,13 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.
       FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % {topk.EVERY} = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= {topk.K}"""
+
+
+def op8() -> str:
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, coalesce(url, '') AS url, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS top FROM d WHERE payload_bytes >= {warc.LEAST} GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to, url
+FROM d LEFT JOIN m USING (payload_digest)"""
