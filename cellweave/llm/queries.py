@@ -10,6 +10,7 @@ from .ngram_join import ngram_join
 from .ordinal import quality_classifier
 from .pieces import sentence_pieces
 from .quality_rules import quality_rules
+from .token_counts import token_counts
 from .token_files import token_files
 from .topk import top_k
 from .url_filter import url_filter
@@ -56,5 +57,9 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join, op7_quality_classifier, op8_warc, op9_top_k)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_source_mixing, op4_url_filter, op5_sentence_pieces, op6_ngram_join, op7_quality_classifier, op8_warc, op9_top_k, op10_token_counts)}
 ORACLE_SQL = {"op1_quality_rules": sql.op1(), "op4_url_filter": sql.op4(), "op8_warc": sql.op8(), "op9_top_k": sql.op9()}
