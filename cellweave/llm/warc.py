@@ -75,7 +75,7 @@ def _write(batches, root: str):
 
     def close_block():
         block = gzip.compress("\n".join(lines).encode(), LEVEL, mtime=0)
-        directory.append(f"{json.dumps(lines[0].rpartition(' {')[0])}\t{seen['indexed']}\t{len(block)}")
+        directory.append(f"{lines[0].rpartition(' {')[0]}\t{seen['indexed']}\t{len(block)}")
         blocks.append(block)
         seen["indexed"] += len(block)
         lines.clear()
@@ -89,7 +89,7 @@ def _write(batches, root: str):
                     continue
                 target = marked[1] if marked and marked[0] == (key, page_id, digest) else None
                 member = gzip.compress(_record(page_id, url or "", html or b"", digest, target), LEVEL, mtime=0)
-                lines.append(f"{key} " + json.dumps({"page_id": page_id, "offset": seen["at"], "length": len(member)}))
+                lines.append(f"{json.dumps(key)} " + json.dumps({"page_id": page_id, "offset": seen["at"], "length": len(member)}))
                 seen["first"] = key if seen["n"] == 0 else seen["first"]
                 seen["last"], seen["n"], seen["at"] = key, seen["n"] + 1, seen["at"] + len(member)
                 if len(lines) == BLOCK_LINES:
@@ -118,7 +118,7 @@ class Shard:
         at, length = self.places[k]
         self.index.seek(at)
         lines = gzip.decompress(self.index.read(length)).decode().split("\n")
-        return [(key, json.loads("{" + rest)) for key, _, rest in (line.rpartition(" {") for line in lines)]
+        return [(json.loads(key), json.loads("{" + rest)) for key, _, rest in (line.rpartition(" {") for line in lines)]
 
     def record(self, place: dict) -> dict:
         self.archive.seek(place["offset"])
