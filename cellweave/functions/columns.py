@@ -52,8 +52,8 @@ def general_text(x: Column) -> Column:
     """Numbers as General text: 15 significant digits, scientific from exponent 16 on and from -15 down."""
     shown = F.format_string("%.14e", x)
     size = F.abs(x)
-    plain = lambda d: F.regexp_replace(F.regexp_replace(shown.cast(f"decimal(38,{d})").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    science = F.concat(F.regexp_replace(F.regexp_replace(F.substring_index(shown, "e", 1), r"0+$", ""), r"\.$", ""), F.lit("E"), F.when(size >= 1, "+").otherwise("-"), F.abs(F.substring_index(shown, "e", -1).cast("int")).cast("string"))
+    plain = lambda d: F.regexp_replace(F.regexp_replace(shown.try_cast(f"decimal(38,{d})").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    science = F.concat(F.regexp_replace(F.regexp_replace(F.substring_index(shown, "e", 1), r"0+$", ""), r"\.$", ""), F.lit("E"), F.when(size >= 1, "+").otherwise("-"), F.abs(F.substring_index(shown, "e", -1).try_cast("int")).cast("string"))
     return F.when(x == 0, "0").when((size >= 1e-4) & (size < 1e16), plain(18)).when((size >= 1e-14) & (size < 1e-4), plain(30)).otherwise(science)
 
 
@@ -134,13 +134,13 @@ def arithmetic(op: str, a: Typed, b: Typed) -> Typed:
 
 def rounded(x: Column, digits: int, how: str = "half") -> Column:
     """Rounds the 15-digit decimal that x shows, half away from zero, up (away) or down (towards zero)."""
-    shown = F.format_string("%.14e", x).cast("decimal(38,15)")
+    shown = F.format_string("%.14e", x).try_cast("decimal(38,15)")  # a null shows as text that is no number
     size = F.abs(shown)
     if how == "half":
         out = F.round(size, digits)
     else:
         out = (F.ceil if how == "up" else F.floor)(size, F.lit(digits))
-    return F.signum(x) * out.cast("double")
+    return F.coalesce(F.signum(x) * out.cast("double"), x)  # beyond 23 digits nothing is left to round
 
 
 # ---- functions ---------------------------------------------------------------------------------------------------------
@@ -205,7 +205,7 @@ def _quotient(x, d):
 
 
 def _steps(x: Column, s: Column, up: bool) -> Column:
-    q = F.format_string("%.14e", F.try_divide(x, s)).cast("decimal(38,15)")
+    q = F.format_string("%.14e", F.try_divide(x, s)).try_cast("decimal(38,15)")
     return (F.ceil(q) if up else F.floor(q)).cast("double") * s
 
 
@@ -366,21 +366,6 @@ COMPILERS["IFERROR"] = lambda x, y: _trap(x, y, None if x.error is None else x.e
 COMPILERS["IFNA"] = lambda x, y: _trap(x, y, None if x.error is None else F.coalesce(x.error == "#N/A", F.lit(False)))
 
 
-def _folded(join):
-    def build(*xs):
-        bs = [boolean(x) for x in xs]
-        out = bs[0].value
-        for b in bs[1:]:
-            out = join(out, b.value)
-        return guarded(out, "bool", *bs)
-
-    return build
-
-
-COMPILERS["AND"] = _folded(lambda a, b: a & b)
-COMPILERS["OR"] = _folded(lambda a, b: a | b)
-COMPILERS["XOR"] = _folded(lambda a, b: a != b)
-
 # information
 
 

@@ -24,15 +24,20 @@ from ..functions.scalars import has_wildcard
 
 _KINDS = {"double": "num", "float": "num", "int": "num", "bigint": "num", "smallint": "num", "tinyint": "num", "string": "text", "boolean": "bool"}
 _AGGREGATES = {
-    "SUM": lambda c: F.coalesce(F.sum(c), F.lit(0.0)), "COUNT": F.count, "AVERAGE": F.avg, "MIN": lambda c: F.coalesce(F.min(c), F.lit(0.0)), "MAX": lambda c: F.coalesce(F.max(c), F.lit(0.0)),
-    "SUMSQ": lambda c: F.coalesce(F.sum(c * c), F.lit(0.0)), "PRODUCT": lambda c: F.when(F.count(c) == 0, 0.0).otherwise(F.product(c)), "MEDIAN": F.median,
+    "SUM": F.sum, "COUNT": F.count, "AVERAGE": F.avg, "MIN": F.min, "MAX": F.max, "SUMSQ": lambda c: F.sum(c * c), "PRODUCT": F.product, "MEDIAN": F.median,
     "STDEV": F.stddev_samp, "STDEV.S": F.stddev_samp, "STDEV.P": F.stddev_pop, "STDEVP": F.stddev_pop, "VAR": F.var_samp, "VAR.S": F.var_samp, "VAR.P": F.var_pop, "VARP": F.var_pop,
 }
 #: The error of an aggregate of nothing, where it is not 0.
 _EMPTY = {"AVERAGE": "#DIV/0!", "MEDIAN": "#NUM!", **{k: "#DIV/0!" for k in ("STDEV", "STDEV.S", "STDEV.P", "STDEVP", "VAR", "VAR.S", "VAR.P", "VARP")}}
+_OF_NOTHING_0 = ("SUM", "MIN", "MAX", "SUMSQ", "PRODUCT")
 _CONDITIONAL = {"SUMIFS": "SUM", "AVERAGEIFS": "AVERAGE", "MAXIFS": "MAX", "MINIFS": "MIN", "COUNTIFS": "COUNT", "SUMIF": "SUM", "AVERAGEIF": "AVERAGE", "COUNTIF": "COUNT"}
 
 
+def _aggregated(name: str, x: Column, window=None) -> Column:
+    found = _AGGREGATES[name](x) if window is None else _AGGREGATES[name](x).over(window)
+    return F.coalesce(found, F.lit(0.0)) if name in _OF_NOTHING_0 else found
+
+
 @dataclass
 class Sheet:
     """``columns`` maps letters to column names; ``order`` (columns that order the rows) is needed by shapes that look at
@@ -130,20 +135,47 @@ class Sheet:
             return _fault("#VALUE!")
         if name in _AGGREGATES and len(args) == 1 and isinstance(args[0], Ref) and args[0].shape != "cell":
             return self._aggregate(name, args[0])
-        if name in _AGGREGATES or name in ("AND", "OR", "XOR") and any(isinstance(a, Ref) and a.shape != "cell" for a in args):
-            return self._row_aggregate(name, [self._tree(a) for a in args if not isinstance(a, Missing)])
+        if name in _AGGREGATES or name in ("AND", "OR", "XOR"):
+            return self._row_aggregate(name, [(isinstance(a, Ref), self._tree(a)) for a in args if not isinstance(a, Missing)])
         if name not in COMPILERS:
             raise Refusal("ARG_UNSUPPORTED", f"{name} has no column form", name)
         return COMPILERS[name](*[Typed(F.lit(None).cast("double"), "num") if isinstance(a, Missing) else self._tree(a) for a in args])
 
     @staticmethod
-    def _row_aggregate(name: str, xs: list[Typed]) -> Typed:
-        """Aggregates of cells of this row, given one by one."""
-        ns = [number(x) for x in xs]
-        total = ns[0].value
-        for n in ns[1:]:
-            total = {"SUM": lambda a, b: a + b, "AVERAGE": lambda a, b: a + b, "PRODUCT": lambda a, b: a * b, "MIN": lambda a, b: F.least(a, b), "MAX": lambda a, b: F.greatest(a, b)}[name](total, n.value)
-        return finite(total / len(ns) if name == "AVERAGE" else total, *ns)
+    def _row_aggregate(name: str, xs: list[tuple[bool, Typed]]) -> Typed:
+        """Aggregates of values given one by one: what is not a number is not seen in a cell, and coerced if given directly."""
+        logical = name in ("AND", "OR", "XOR")
+        seen, errors = [], []
+        for cell, x in xs:
+            errors.append(x.error)
+            if cell and (x.kind == "num" or logical and x.kind == "bool"):
+                seen.append(x.value if x.kind == "num" else x.value.cast("double"))
+            elif not cell:
+                t = boolean(x) if logical else number(x)
+                errors.append(t.error)
+                seen.append(t.value.cast("double"))
+        here = [F.when(v.isNotNull(), 1).otherwise(0) for v in seen]
+        n = sum(here[1:], here[0]) if here else F.lit(0)
+        add = lambda vs: sum(vs[1:], vs[0]) if vs else F.lit(0.0)
+        if logical:
+            true = add([F.when(v != 0, 1).otherwise(0) for v in seen])
+            return guarded({"AND": true == n, "OR": true > 0, "XOR": true % 2 == 1}[name], "bool", *errors, F.when(n == 0, "#VALUE!"))
+        total = add([F.coalesce(v, F.lit(0.0)) for v in seen])
+        if name == "COUNT":
+            return Typed(n.cast("double"), "num")
+        if name == "AVERAGE":
+            return finite(F.try_divide(total, n), *errors, F.when(n == 0, "#DIV/0!"))
+        if name in ("MIN", "MAX"):
+            some = [*seen, F.lit(None).cast("double"), F.lit(None).cast("double")]
+            return finite(F.coalesce((F.least if name == "MIN" else F.greatest)(*some), F.lit(0.0)), *errors)
+        if name == "PRODUCT":
+            product = F.lit(1.0)
+            for v in seen:
+                product = product * F.coalesce(v, F.lit(1.0))
+            return finite(F.when(n == 0, 0.0).otherwise(product), *errors)
+        if name in ("SUM", "SUMSQ"):
+            return finite(total if name == "SUM" else add([F.coalesce(v * v, F.lit(0.0)) for v in seen]), *errors)
+        raise Refusal("ARG_UNSUPPORTED", f"{name} of single cells has no column form", name)
 
     def _aggregate(self, name: str, ref: Ref) -> Typed:
         if ref.left != ref.right:
@@ -153,13 +185,13 @@ class Sheet:
         x = t.value if t.kind == "num" else F.lit(None).cast("double")
         if ref.shape == "cols":
             if sheet.within:
-                value = _AGGREGATES[name](x).over(Window.partitionBy(*sheet.within))
+                value = _aggregated(name, x, Window.partitionBy(*sheet.within))
             else:
-                value = sheet.df.select(_AGGREGATES[name](x)).scalar()  # one row: a subquery, evaluated once
+                value = sheet.df.select(_aggregated(name, x)).scalar()  # one row: a subquery, evaluated once
         elif ref.fixed[0] and not ref.fixed[2]:
-            value = _AGGREGATES[name](x).over(self._window().rowsBetween(Window.unboundedPreceding, ref.bottom - 1))
+            value = _aggregated(name, x, self._window().rowsBetween(Window.unboundedPreceding, ref.bottom - 1))
         elif not ref.fixed[0] and not ref.fixed[2]:
-            value = _AGGREGATES[name](x).over(self._window().rowsBetween(ref.top - 1, ref.bottom - 1))
+            value = _aggregated(name, x, self._window().rowsBetween(ref.top - 1, ref.bottom - 1))
         else:
             raise Refusal("REF_SHAPE", f"{unparse(ref)} has no column form", unparse(ref))
         value = value.cast("double")
@@ -217,7 +249,7 @@ class Sheet:
         aggregate = _CONDITIONAL[call.name]
         x = F.lit(1) if target is None else source._column(source._named(target.left)).value
         empty = F.lit(None).cast("double") if aggregate == "AVERAGE" else F.lit(0.0)
-        value = (F.count(x) if aggregate == "COUNT" else _AGGREGATES[aggregate](x)).cast("double")
+        value = _aggregated(aggregate, x).cast("double")
         if not keys:
             df = self.df.withColumn(column, rows.select(value).scalar())
         else:

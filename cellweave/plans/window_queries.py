@@ -77,12 +77,12 @@ def sliding_avg(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderpriority, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (k < 5000) + sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (k BETWEEN 3000 AND 8000) AS DOUBLE) AS both_areas,
-       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (k BETWEEN 3000 AND 4999) AS DOUBLE) AS shared FROM (SELECT *, o_orderkey AS k FROM orders) GROUP BY o_orderpriority""")
+SELECT o_orderpriority, CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (k < 5000), 0) + coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (k BETWEEN 3000 AND 8000), 0) AS DOUBLE) AS both_areas,
+       CAST(coalesce(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (k BETWEEN 3000 AND 4999), 0) AS DOUBLE) AS shared FROM (SELECT *, o_orderkey AS k FROM orders) GROUP BY o_orderpriority""")
 def range_union_intersect(spark, sf_dir):
     """(A,B) keeps duplicates; A B is what both share."""
     df = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", money("o_totalprice").alias("v"))
     first, second = df.filter("o_orderkey < 5000"), df.filter("o_orderkey between 3000 and 8000")
     union = first.unionAll(second).groupBy("o_orderpriority").agg(F.sum("v").alias("both_areas"))
     shared = first.join(second.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.sum("v").alias("shared"))
-    return union.join(shared, "o_orderpriority", "left").select("o_orderpriority", F.col("both_areas").cast("double").alias("both_areas"), F.col("shared").cast("double").alias("shared"))
+    return union.join(shared, "o_orderpriority", "left").select("o_orderpriority", F.col("both_areas").cast("double").alias("both_areas"), F.coalesce(F.col("shared").cast("double"), F.lit(0.0)).alias("shared"))
