@@ -121,12 +121,16 @@ class Files:
         return system.open_input_file(path)
 
 
+_memories: dict[str, list["Remembered"]] = {}
+
+
 class Remembered(dict):
     """A bounded memory of a function of one argument; it starts afresh when full, so results never depend on it."""
 
-    def __init__(self, function, most: int = 400_000):
+    def __init__(self, function, most: int, owner: str):
         super().__init__()
         self.function, self.most = function, most
+        _memories.setdefault(owner, []).append(self)
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -135,6 +139,9 @@ class Remembered(dict):
         return value
 
 
-def with_columns_apart(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the columns an operator reads, so extra columns with any names cannot clash with its own."""
-    return df.select(*[F.col(f"`{c}`") for c in needed])
+def only(owner: str) -> None:
+    """Empties what other operators' memories hold in this worker process; Spark reuses processes from stage to stage."""
+    for other, memories in _memories.items():
+        if other != owner:
+            for memory in memories:
+                memory.clear()

@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, shipped, written
+from .common import Remembered, only, shipped, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 BLOCK = 256
@@ -53,7 +53,7 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-_word_hashes = Remembered(_word_hash, 600_000)
+_word_hashes = Remembered(_word_hash, 400_000, "ngrams")
 
 
 def shingles(text: bytes, n: int = WORDS):
@@ -98,6 +98,7 @@ def band_hashes(grams, bands: int, rows: int):
 def _sign(batches, n: int, bands: int, rows: int):
     import pyarrow as pa
 
+    only("ngrams")
     for batch in batches:
         nodes, hashes = [], []
         for text in batch.column(3):
@@ -126,6 +127,7 @@ def compare(pdf, n: int, threshold: Fraction):
     import numpy as np
     import pandas as pd
 
+    only("ngrams")
     pdf = pdf.drop_duplicates("node")
     sets = [shingles(t or b"", n) for t in pdf["text"]]
     right = np.array([node_of(s) == bytes(k) for s, k in zip(sets, pdf["node"])], bool)

@@ -14,7 +14,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, shipped
+from .common import Remembered, only, shipped
 
 DIMENSIONS = 1 << 18
 #: The fit's bound: at most this many labelled documents, those of least hashed id; a quarter of them is held out.
@@ -41,7 +41,8 @@ def _shape(raw: bytes) -> int:
     return _index(b"s", raw[:12] + (b"+" if len(raw) > 12 else b""))
 
 
-_words, _shapes = Remembered(_word, 400_000), Remembered(_shape, 400_000)
+#: Both indices of a word in one number: the word's, times DIMENSIONS, and its shape's.
+_indices = Remembered(lambda raw: _word(raw) * DIMENSIONS + _shape(raw), 300_000, "ordinal")
 
 
 def features(text: bytes):
@@ -59,11 +60,8 @@ def features(text: bytes):
         for kind, share in ((b"d", size / n), (b"a", again / n), (b"l", 1 - len(set(lines)) / max(1, len(lines))), (b"m", min(1.0, len(text) / n / 20))):
             coarse.append(_index(kind, b"%d" % int(20 * share)))
     tf = np.fromiter(counts.values(), np.float64, size)
-    index = np.concatenate((
-        np.fromiter(map(_words.__getitem__, counts), np.int64, size),
-        np.fromiter(map(_shapes.__getitem__, counts), np.int64, size),
-        np.array(coarse, np.int64),
-    ))
+    both = np.fromiter(map(_indices.__getitem__, counts), np.int64, size)
+    index = np.concatenate((both // DIMENSIONS, both % DIMENSIONS, np.array(coarse, np.int64)))
     value = np.concatenate((0.5 * np.minimum(1.0, 12.0 / max(1.0, math.sqrt(size))) * np.ones(size), 5 * tf / max(1, n), np.full(len(coarse), 0.5)))
     return index, value
 
@@ -125,6 +123,7 @@ def grades(labels: DataFrame) -> DataFrame:
 def _sampled(batches):
     import pyarrow as pa
 
+    only("ordinal")
     for batch in batches:
         found = [features(t or b"") for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -165,6 +164,7 @@ def _scored(batches, state, tail: int):
     import numpy as np
     import pyarrow as pa
 
+    only("ordinal")
     for batch in batches:
         model = None
         if state is not None:

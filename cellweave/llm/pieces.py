@@ -15,7 +15,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, shipped
+from .common import Remembered, only, shipped
 
 SPACE = "▁"
 #: Stretches longer than this are not remembered.
@@ -26,7 +26,7 @@ _BATCH = 2000
 class PieceEncoder:
     """Encodes with the pieces and scores of a SentencePiece BPE model with byte fallback and identity normalization."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 350_000):
         import ahocorasick
         import sentencepiece
 
@@ -46,10 +46,10 @@ class PieceEncoder:
         # where no piece holds a line feed, and none a space mark after another character, texts may be cut there
         self._by_line = not any("\n" in p for p in self.ids)
         self._by_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self._whole = Remembered(lambda p: self.merged(p) == [p], 100_000)
-        self._fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], 400_000)
-        self._spaced = Remembered(lambda part: self._encoded(SPACE + part), most)
-        self._plain = Remembered(self._encoded, most // 4)
+        self._whole = Remembered(lambda p: self.merged(p) == [p], 100_000, "pieces")
+        self._fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], 250_000, "pieces")
+        self._spaced = Remembered(lambda part: self._encoded(SPACE + part), most, "pieces")
+        self._plain = Remembered(self._encoded, most // 4, "pieces")
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by plain merging."""
@@ -166,6 +166,7 @@ def default_model(name: str = "piece_bpe_32k.model") -> str:
 def _encode(batches, path: str, ids_too: bool):
     import pyarrow as pa
 
+    only("pieces")
     enc = piece_encoder(path)
     for big in batches:
         for at in range(0, big.num_rows, _BATCH):
