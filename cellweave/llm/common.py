@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\f\r"
 
+#: Stand-ins for the shared folder, by application.
+_own: dict[str, str] = {}
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -30,8 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cellweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = "file://" + tempfile.mkdtemp(prefix="cellweave-")
+        root = _own[application]
     path = f"{root.rstrip('/')}/cellweave-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
