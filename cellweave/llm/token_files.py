@@ -123,7 +123,8 @@ def write_tokens(documents: DataFrame, root: str, path: str, end: int = 0) -> Da
 
 def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens (with the end id) and ids_crc32, read from the files."""
-    rows = shipped(manifest.select("shard").repartition("shard")).mapInArrow(lambda batches: _read(batches, root), _RECORDS)
+    shards = manifest.select("shard").repartition(max(1, min(manifest.count(), 20_000)))  # a number given is not coalesced
+    rows = shipped(shards).mapInArrow(lambda batches: _read(batches, root), _RECORDS)
     starts = manifest.select("shard", F.col("start").alias("base"))
     return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
