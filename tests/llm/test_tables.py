@@ -130,6 +130,27 @@ def test_segment_bounds_hold_and_prune():
     assert searcher.exact < 0.5 * 20 * 2000  # most pairs never meet exactly
 
 
+# ---- registered queries
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op4_url_filter", "op8_warc", "op9_top_k"])
+def test_query_and_its_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from cellweave.llm.queries import ORACLE_SQL, QUERIES
+
+    con = duckdb.connect()
+    for path in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    df, want = QUERIES[name](spark, "/root/testdata/sf0.001"), con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, want.fetchall()))
+
+
 # ---- pipeline
 
 
