@@ -64,8 +64,8 @@ def shipped(df: DataFrame) -> DataFrame:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         base = os.path.join(tempfile.mkdtemp(prefix="cellweave-"), "cellweave_code.zip")
         with zipfile.ZipFile(base, "w") as out:
-            for folder in (top, os.path.dirname(os.path.abspath(__file__))):
-                for name in sorted(os.listdir(folder)):
+            for folder, _, names in sorted(os.walk(top)):  # whole, so it stands in for any other copy of the package
+                for name in sorted(names):
                     if name.endswith(".py"):
                         path = os.path.join(folder, name)
                         out.write(path, os.path.relpath(path, os.path.dirname(top)))
