@@ -33,12 +33,14 @@ class _Memory(dict):
 class Encoder:
     """Ids, or the character spans of tokens, for many texts; both as bytes of little-endian numbers."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import numpy as np
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the library's own cache cannot help: it sees each stretch once
+        getattr(self.tokenizer.model, "_resize_cache", lambda size: None)(0)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.most = most
         self._specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
