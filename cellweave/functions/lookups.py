@@ -72,15 +72,28 @@ def _vh(vertical: bool):
 
     def body(call, key, table, k, near=True):
         key, k = _key(call, key), math.trunc(call.number(k))
-        grid = _table(table)
-        width = (table.width if vertical else table.height) if isinstance(table, Area) else (grid.width if vertical else grid.height)
+        if isinstance(table, Err):
+            return table
+        area = table if isinstance(table, Area) else None
+        grid = None if area else _table(table)
+        width = (area.width if vertical else area.height) if area else (grid.width if vertical else grid.height)
         if k < 1:
             raise Failed(VALUE)
         if k > width:
             raise Failed(REF)
-        line = [r[0] for r in grid.rows] if vertical else grid.rows[0] if grid.rows else []
         # an argument left out after its comma is blank, which is FALSE
         near = to_bool(None if near is MISSING else call.scalar(near))
+        if area:  # only the line that is searched and one cell are read
+            line = _first_line(area, vertical)
+            at = None if near else _fast(key, line)
+            if at is None:
+                values = line.grid().flat()
+                at = approximate(key, values, False, what) if near else exact(key, values)
+            if at is None or at < 0:
+                return NA
+            row, col = (area.top + at, area.left + k - 1) if vertical else (area.top + k - 1, area.left + at)
+            return area.book.read(area.sheet, row, col)
+        line = [r[0] for r in grid.rows] if vertical else grid.rows[0] if grid.rows else []
         at = approximate(key, line, False, what) if near else exact(key, line)
         if at is None:
             return NA
@@ -90,13 +103,28 @@ def _vh(vertical: bool):
     return body
 
 
+def _first_line(area: Area, vertical: bool) -> Area:
+    bottom, right = (area.bottom, area.left) if vertical else (area.top, area.right)
+    return Area(area.book, area.sheet, area.top, area.left, bottom, right, bottom - area.top + 1, right - area.left + 1)
+
+
+def _fast(key, line) -> int | None:
+    """Offset of a number in a column of cells, -1 if it is not there; None where the general search must decide."""
+    if isinstance(line, Area) and line.left == line.right and isinstance(key, float) and key != 0:
+        return line.book.position(line, key)
+    return None
+
+
 define("VLOOKUP", 3, 4)(_vh(True))
 define("HLOOKUP", 3, 4)(_vh(False))
 
 
 @define("MATCH", 2, 3)
 def _match(call, key, line, kind=1.0):
-    key, line, kind = _key(call, key), _line(line), 0 if kind is MISSING else call.number(kind)
+    key, area, kind = _key(call, key), line, 0 if kind is MISSING else call.number(kind)
+    if kind == 0 and (at := _fast(key, area)) is not None:
+        return NA if at < 0 else at + 1
+    line = _line(area)
     at = exact(key, line) if kind == 0 else approximate(key, line, kind < 0, "MATCH")
     return NA if at is None else at + 1
 

@@ -139,7 +139,9 @@ def numbers(args) -> list[float]:
     """Numbers of aggregates: in ranges only numbers are seen; direct arguments are coerced; the first error wins."""
     out: list[float] = []
     for arg in args:
-        if is_range(arg):
+        if isinstance(arg, Area) and (fast := arg.book.numbers(arg)) is not None:
+            out += fast
+        elif is_range(arg):
             for v in values_of(arg):
                 if isinstance(v, Err):
                     raise Failed(v)
