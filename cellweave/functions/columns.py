@@ -236,9 +236,14 @@ def _atan2(x, y):
 # text
 
 
+def whole(x: Column) -> Column:
+    """A double as a 32-bit whole number, cut towards zero and held within its bounds: a cast must not fail the job."""
+    return F.greatest(F.least(x, F.lit(2147483647.0)), F.lit(-2147483648.0)).cast("int")
+
+
 def _count(t: Typed) -> Typed:
     n = number(t)
-    return Typed(n.value.cast("int"), "num", n.error, t.constant)
+    return Typed(whole(n.value), "num", n.error)
 
 
 COMPILERS["LEN"] = lambda x: Typed(F.length(text(x).value).cast("double"), "num", x.error)
@@ -296,7 +301,7 @@ def _replace(x, start, n, new):
 @compiles("REPT")
 def _rept(x, n):
     n = _count(n)
-    return guarded(F.repeat(text(x).value, n.value), "text", x, n, when_error((n.value < 0) | (F.length(text(x).value) * n.value > 32_767), "#VALUE!"))
+    return guarded(F.repeat(text(x).value, n.value), "text", x, n, when_error((n.value < 0) | (F.length(text(x).value).cast("bigint") * n.value > 32_767), "#VALUE!"))
 
 
 @compiles("VALUE")
@@ -380,8 +385,8 @@ COMPILERS["ISNONTEXT"] = lambda x: Typed(~(x.value.isNotNull() & _no_error(x)) i
 COMPILERS["ISERROR"] = lambda x: Typed(~_no_error(x), "bool")
 COMPILERS["ISNA"] = lambda x: Typed(F.lit(False) if x.error is None else F.coalesce(x.error == "#N/A", F.lit(False)), "bool")
 COMPILERS["ISERR"] = lambda x: Typed(F.lit(False) if x.error is None else F.coalesce(x.error != "#N/A", F.lit(False)), "bool")
-COMPILERS["ISEVEN"] = lambda x: Typed(F.pmod(number(x).value.cast("bigint"), F.lit(2)) == 0, "bool", number(x).error)
-COMPILERS["ISODD"] = lambda x: Typed(F.pmod(number(x).value.cast("bigint"), F.lit(2)) == 1, "bool", number(x).error)
+COMPILERS["ISEVEN"] = lambda x: guarded(F.pmod(F.floor(F.abs(number(x).value)).cast("double"), F.lit(2.0)) == 0, "bool", number(x))
+COMPILERS["ISODD"] = lambda x: guarded(F.pmod(F.floor(F.abs(number(x).value)).cast("double"), F.lit(2.0)) == 1, "bool", number(x))
 COMPILERS["N"] = lambda x: Typed(F.coalesce(x.value.cast("double"), F.lit(0.0)) if x.kind in ("num", "bool") else F.lit(0.0), "num", x.error)
 COMPILERS["T"] = lambda x: Typed(F.coalesce(x.value, F.lit("")) if x.kind == "text" else F.lit(""), "text", x.error)
 COMPILERS["TYPE"] = lambda x: Typed(F.when(~_no_error(x), 16.0).when(x.value.isNull(), 1.0).otherwise({"num": 1.0, "text": 2.0, "bool": 4.0, "err": 16.0}[x.kind]), "num")
@@ -400,15 +405,19 @@ def _error_type(x):
 
 
 def date_of(serial: Column) -> Column:
-    return F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int"))
+    return F.date_add(F.lit("1899-12-30").cast("date"), whole(F.floor(F.greatest(F.lit(0.0), F.least(serial.cast("double"), F.lit(2958465.0))))))
 
 
 def serial_of(date: Column) -> Column:
     return F.datediff(date, F.lit("1899-12-30").cast("date")).cast("double")
 
 
+def no_day(serial: Column) -> Column:
+    return when_error((serial < 0) | (F.floor(serial) > 2958465), "#NUM!")
+
+
 def _part(name: str, f) -> None:
-    COMPILERS[name] = lambda x: Typed(f(date_of(number(x).value)).cast("double"), "num", number(x).error)
+    COMPILERS[name] = lambda x: guarded(f(date_of(number(x).value)).cast("double"), "num", number(x), no_day(number(x).value))
 
 
 for _n, _f in (("YEAR", F.year), ("MONTH", F.month), ("DAY", F.dayofmonth)):
@@ -584,7 +593,7 @@ def _ddb(cost, salvage, life, per, factor=_lit(2.0)):
         part = F.greatest(F.lit(0.0), F.least(acc["left"] * f.value / n.value, acc["left"] - s.value))
         return F.struct((acc["left"] - part).alias("left"), part.alias("part"))
 
-    steps = F.when(~bad, F.sequence(F.lit(1), F.ceil(k.value).cast("int")))
+    steps = F.when(~bad, F.sequence(F.lit(1), whole(F.ceil(k.value))))
     return finite(F.aggregate(steps, state, step, lambda acc: acc["part"]), c, s, n, k, f, when_error(bad, "#NUM!"))
 
 
@@ -613,3 +622,223 @@ def _pduration(r, a, b):
     r, a, b = _nums(r, a, b)
     bad = (r.value <= 0) | (a.value <= 0) | (b.value <= 0)
     return finite(F.when(~bad, (F.log(b.value) - F.log(a.value)) / F.log1p(r.value)), r, a, b, when_error(bad, "#NUM!"))
+
+# more text
+
+
+def _constant(t: Typed, what: str):
+    if t.constant is None:
+        raise Refusal("ARG_UNSUPPORTED", f"{what} must be a constant to have a column form", what)
+    return t.constant
+
+
+@compiles("CHAR")
+def _char(x):
+    n = _count(x)
+    return guarded(F.decode(F.unhex(F.lpad(F.hex(n.value), 2, "0")), "ISO-8859-1"), "text", n, when_error((n.value < 1) | (n.value > 255), "#VALUE!"))
+
+
+@compiles("UNICHAR")
+def _unichar(x):
+    n = _count(x)
+    bad = (n.value < 1) | (n.value > 0x10FFFF) | n.value.between(0xD800, 0xDFFF)
+    return guarded(F.decode(F.unhex(F.lpad(F.hex(F.when(~bad, n.value)), 8, "0")), "UTF-32"), "text", n, when_error(bad, "#VALUE!"))
+
+
+COMPILERS["UNICODE"] = lambda x: guarded(F.conv(F.hex(F.encode(F.substring(text(x).value, 1, 1), "UTF-32")), 16, 10).cast("double"), "num", x, when_error(text(x).value == "", "#VALUE!"))
+COMPILERS["CODE"] = lambda x: guarded(F.conv(F.substring(F.hex(F.encode(F.substring(text(x).value, 1, 1), "UTF-16BE")), 1, 4), 16, 10).cast("double"), "num", x, when_error(text(x).value == "", "#VALUE!"))
+
+
+@compiles("SEARCH")
+def _search(needle, x, start=_lit(1.0)):
+    pattern, k = str(_constant(needle, "SEARCH")), int(float(_constant(start, "SEARCH")))
+    out, i = [], 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "~" and i + 1 < len(pattern) and pattern[i + 1] in "*?~":
+            i += 1
+            out.append("\\" + pattern[i])
+        else:
+            out.append({"*": ".*", "?": "."}.get(c) or ("\\" + c if c in r"\.[]{}()+-^$|/" else c))
+        i += 1
+    s = text(x).value
+    at = F.regexp_instr(F.substring(s, k, 1_000_000), F.lit("(?is)" + "".join(out)))
+    return guarded((at + k - 1).cast("double"), "num", needle, x, when_error((at == 0) | (F.length(s) + 1 < k) | F.lit(k < 1), "#VALUE!"))
+
+
+def _grouped(x: Column, digits: int, comma: bool) -> Column:
+    """A rounded number with fixed decimals, and thousands commas if asked for."""
+    r = rounded(x, digits)
+    shown = F.format_number(F.abs(r).try_cast("decimal(38,15)"), max(0, digits))
+    shown = shown if comma else F.translate(shown, ",", "")
+    return F.concat(F.when(r < 0, "-").otherwise(""), shown)
+
+
+@compiles("FIXED")
+def _fixed(x, digits=_lit(2.0), plain=_lit(False)):
+    x = number(x)
+    return guarded(_grouped(x.value, _digits(digits), not _constant(plain, "FIXED")), "text", x)
+
+
+@compiles("DOLLAR")
+def _dollar(x, digits=_lit(2.0)):
+    x, d = number(x), _digits(digits)
+    shown = F.concat(F.lit("$"), _grouped(F.abs(x.value), d, True))
+    return guarded(F.when(rounded(x.value, d) < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown), "text", x)
+
+
+@compiles("TEXTJOIN")
+def _textjoin(by, skip, *xs):
+    parts = F.array(*[text(x).value for x in xs])
+    keep = True if skip.constant is None else bool(skip.constant)
+    return guarded(F.array_join(F.filter(parts, lambda p: p != "") if keep else parts, str(_constant(by, "TEXTJOIN"))), "text", by, skip, *xs)
+
+
+@compiles("NUMBERVALUE")
+def _numbervalue(x, decimal=_lit("."), group=_lit(",")):
+    d, g = str(_constant(decimal, "NUMBERVALUE"))[:1], str(_constant(group, "NUMBERVALUE"))[:1]
+    bare = F.regexp_replace(text(x).value, r"\s", "")
+    whole, rest = F.substring_index(bare, d, 1), F.when(F.instr(bare, d) > 0, F.substring_index(bare, d, -1)).otherwise("")
+    n = parsed_number(F.concat(F.replace(whole, F.lit(g), F.lit("")), F.when(F.instr(bare, d) > 0, ".").otherwise(""), rest))
+    return guarded(F.when(bare == "", 0.0).otherwise(n), "num", x, when_error((bare != "") & (n.isNull() | (F.instr(rest, g) > 0)), "#VALUE!"))
+
+
+_TEXT_NUMBER = {"0": (0, False, False), "0.0": (1, False, False), "0.00": (2, False, False), "0.000": (3, False, False), "#,##0": (0, True, False), "#,##0.0": (1, True, False), "#,##0.00": (2, True, False), "0%": (0, False, True), "0.0%": (1, False, True), "0.00%": (2, False, True)}
+_TEXT_DATE = {"yyyy-mm-dd": "yyyy-MM-dd", "yyyy-mm": "yyyy-MM", "yyyymm": "yyyyMM", "mmm-yy": "MMM-yy", "d mmm yyyy": "d MMM yyyy", "yyyy": "yyyy"}
+
+
+@compiles("TEXT")
+def _text(x, code):
+    """TEXT with the codes above; others are refused, as in cell mode those that its formatter does not know."""
+    known = str(_constant(code, "TEXT"))
+    n = number(x)
+    if known in _TEXT_NUMBER:
+        digits, comma, percent = _TEXT_NUMBER[known]
+        shown = F.concat(_grouped(n.value * 100 if percent else n.value, digits, comma), F.lit("%" if percent else ""))
+    elif known in _TEXT_DATE:
+        shown = F.date_format(date_of(n.value), _TEXT_DATE[known])
+    elif set(known) == {"0"}:
+        shown = F.concat(F.when(rounded(n.value, 0) < 0, "-").otherwise(""), F.lpad(F.abs(rounded(n.value, 0)).try_cast("decimal(38,0)").cast("string"), len(known), "0"))
+    else:
+        raise Refusal("FEATURE", f"number format {known} is not supported", "TEXT")
+    if x.kind == "text":  # text that is no number passes through
+        return Typed(F.when(x.value.isNotNull() & parsed_number(x.value).isNull(), x.value).otherwise(shown), "text", x.error)
+    return guarded(shown, "text", n)
+
+
+# times of day
+
+
+def _cut(t: Typed) -> Column:
+    x = number(t).value
+    return F.signum(x) * F.floor(F.abs(x))
+
+
+COMPILERS["TIME"] = lambda h, m, s: (lambda t: guarded(F.pmod(t / 86400, F.lit(1.0)), "num", h, m, s, when_error(t < 0, "#NUM!")))(_cut(h) * 3600 + _cut(m) * 60 + _cut(s))
+
+
+def _clock(x: Typed) -> tuple[Typed, Column]:
+    x = number(x)
+    return x, F.pmod(F.round((x.value - F.floor(x.value)) * 86400), F.lit(86400.0))
+
+
+def _clock_part(f):
+    def build(x):
+        x, seconds = _clock(x)
+        return guarded(f(seconds).cast("double"), "num", x, when_error(x.value < 0, "#NUM!"))
+
+    return build
+
+
+COMPILERS["HOUR"] = _clock_part(lambda s: F.floor(s / 3600))
+COMPILERS["MINUTE"] = _clock_part(lambda s: F.floor(s / 60) % 60)
+COMPILERS["SECOND"] = _clock_part(lambda s: s % 60)
+
+
+@compiles("DATEVALUE")
+def _datevalue(x):
+    s = F.trim(text(x).value)
+    d = F.coalesce(F.try_to_date(F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), s), "yyyy-M-d"), F.try_to_date(F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), s), "M/d/yyyy"))
+    return guarded(serial_of(d), "num", x, when_error(d.isNull(), "#VALUE!"))
+
+
+@compiles("TIMEVALUE")
+def _timevalue(x):
+    s, part = text(x).value, lambda k: F.coalesce(F.regexp_extract(text(x).value, r"^\s*(\d{1,2}):(\d{2})(?::(\d{2}))?\s*$", k).try_cast("double"), F.lit(0.0))
+    return guarded(F.pmod((part(1) * 3600 + part(2) * 60 + part(3)) / 86400, F.lit(1.0)), "num", x, when_error(~s.rlike(r"^\s*(\d{1,2}):(\d{2})(?::(\d{2}))?\s*$"), "#VALUE!"))
+
+
+# more math
+
+
+@compiles("FACT")
+def _fact(x):
+    x = number(x)
+    table = F.array(*[F.lit(float(math.factorial(k))) for k in range(171)])
+    bad = (x.value < 0) | (x.value >= 171)
+    return guarded(F.element_at(table, F.when(~bad, whole(F.floor(x.value)) + 1)), "num", x, when_error(bad, "#NUM!"))
+
+
+@compiles("COMBIN")
+def _combin(n, k):
+    n, k = _count(n), _count(k)
+    bad = (n.value < 0) | (k.value < 0) | (k.value > n.value)
+    small = F.least(k.value, n.value - k.value)
+    steps = F.when(~bad & (small > 0), F.sequence(F.lit(1), small)).otherwise(F.array().cast("array<int>"))
+    return finite(F.round(F.aggregate(steps, F.lit(1.0), lambda acc, i: acc * (n.value - small + i) / i), 0), n, k, when_error(bad, "#NUM!"))
+
+
+def _math_steps(up: bool):
+    def build(x, s=_lit(1.0), mode=_lit(0.0)):
+        x, s, m = number(x), number(s), number(mode)
+        size = F.abs(s.value)
+        away = (m.value != 0) & (x.value < 0)
+        out = F.when(away, _steps(x.value, size, not up)).otherwise(_steps(x.value, size, up))
+        return finite(F.when(size == 0, 0.0).otherwise(out), x, s, m)
+
+    return build
+
+
+COMPILERS["CEILING.MATH"], COMPILERS["FLOOR.MATH"] = _math_steps(True), _math_steps(False)
+
+
+def _gcd(a: Column, b: Column) -> Column:
+    """Euclid's steps, as many as 53-bit numbers can need."""
+    start = F.struct(a.alias("a"), b.alias("b"))
+    step = lambda acc, _: F.struct(F.when(acc["b"] == 0, acc["a"]).otherwise(acc["b"]).alias("a"), F.when(acc["b"] == 0, F.lit(0.0)).otherwise(acc["a"] - acc["b"] * F.floor(F.try_divide(acc["a"], acc["b"]))).alias("b"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda acc: acc["a"])
+
+
+def _folding(join, first: float):
+    def build(*xs):
+        ns = [number(x) for x in xs]
+        out = F.lit(first)
+        for n in ns:
+            out = join(out, F.floor(n.value).cast("double"))
+        return finite(out, *ns, *[when_error(n.value < 0, "#NUM!") for n in ns])
+
+    return build
+
+
+COMPILERS["GCD"] = _folding(lambda a, b: _gcd(a, b), 0.0)
+COMPILERS["LCM"] = _folding(lambda a, b: F.when((a == 0) | (b == 0), 0.0).otherwise(F.try_divide(a * b, _gcd(a, b))), 1.0)
+
+
+# more finance
+
+
+def _cumulated(interest: bool):
+    def build(r, n, pv, a, b, due):
+        r, n, pv, a, b, due = _nums(r, n, pv, a, b, due)
+        first, last = F.floor(a.value), F.floor(b.value)
+        bad = (r.value <= 0) | (n.value <= 0) | (pv.value <= 0) | (first < 1) | (last < first) | (last > n.value) | ~due.value.isin(0.0, 1.0)
+        payment = pmt_column(r.value, n.value, pv.value, F.lit(0.0), due.value)
+        part = lambda k: F.when((due.value == 1) & (k == 1), 0.0).otherwise(fv_column(r.value, k - 1, payment, pv.value, due.value) * r.value)
+        total = F.aggregate(F.when(~bad, F.sequence(whole(first), whole(last))), F.lit(0.0), lambda acc, k: acc + part(k))
+        return finite(total if interest else payment * (last - first + 1) - total, r, n, pv, a, b, due, when_error(bad, "#NUM!"))
+
+    return build
+
+
+COMPILERS["CUMIPMT"], COMPILERS["CUMPRINC"] = _cumulated(True), _cumulated(False)
+

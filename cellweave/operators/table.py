@@ -137,6 +137,8 @@ class Sheet:
             return self._aggregate(name, args[0])
         if name in _AGGREGATES or name in ("AND", "OR", "XOR"):
             return self._row_aggregate(name, [(isinstance(a, Ref), self._tree(a)) for a in args if not isinstance(a, Missing)])
+        if name == "NPV":
+            return self._row_npv(self._tree(args[0]), [(isinstance(a, Ref), self._tree(a)) for a in args[1:] if not isinstance(a, Missing)])
         if name not in COMPILERS:
             raise Refusal("ARG_UNSUPPORTED", f"{name} has no column form", name)
         return COMPILERS[name](*[Typed(F.lit(None).cast("double"), "num") if isinstance(a, Missing) else self._tree(a) for a in args])
@@ -177,6 +179,20 @@ class Sheet:
             return finite(total if name == "SUM" else add([F.coalesce(v * v, F.lit(0.0)) for v in seen]), *errors)
         raise Refusal("ARG_UNSUPPORTED", f"{name} of single cells has no column form", name)
 
+    @staticmethod
+    def _row_npv(rate: Typed, xs: list[tuple[bool, Typed]]) -> Typed:
+        """Flows of this row; cells without a number are left out and take no period."""
+        r, total, period, errors = number(rate), F.lit(0.0), F.lit(0), []
+        for cell, x in xs:
+            if cell and x.kind != "num":
+                errors.append(x.error)
+                continue
+            t = x if cell else number(x)
+            errors.append(t.error)
+            period = period + F.when(t.value.isNotNull(), 1).otherwise(0)
+            total = total + F.coalesce(F.try_divide(t.value, F.pow(1 + r.value, period)), F.lit(0.0))
+        return finite(total, r, *errors, F.when(r.value == -1, "#DIV/0!"))
+
     def _aggregate(self, name: str, ref: Ref) -> Typed:
         if ref.left != ref.right:
             raise Refusal("REF_SHAPE", "ranges of several columns have no column form", unparse(ref))

@@ -117,3 +117,15 @@ def norm_dist_inv(spark, sf_dir):
     stats = df.agg(F.avg("p_retailprice").alias("m"), F.stddev_pop("p_retailprice").alias("s"))
     z = (F.col("p_retailprice") - stats.select("m").scalar()) / stats.select("s").scalar()
     return shipped(df.select("p_partkey", z.alias("z"))).mapInPandas(normal, "p_partkey bigint, z double, cdf double, pdf double, back double")
+
+
+@query(f"""
+WITH RECURSIVE b AS (SELECT p_partkey, p_retailprice AS pv, (p_size % 9 + 1) / 1200.0::DOUBLE AS r FROM part),
+p AS (SELECT *, r * pv * power(1 + r, 24) / (power(1 + r, 24) - 1) AS pay FROM b),
+s AS (SELECT p_partkey, r, pay, pv AS owed, 1 AS k FROM p UNION ALL SELECT p_partkey, r, pay, owed - (pay - owed * r), k + 1 FROM s WHERE k < 12)
+SELECT p_partkey, {s6('-sum(owed * r)')} AS interest, {s6('-sum(pay - owed * r)')} AS principal FROM s WHERE k BETWEEN 3 AND 12 GROUP BY p_partkey""")
+def finance_cumulated(spark, sf_dir):
+    """CUMIPMT and CUMPRINC over periods 3 to 12, folded inside the engine."""
+    df = read(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("pv"), ((F.col("p_size") % 9 + 1) / F.lit(1200.0)).alias("r"))
+    df = filled(df, {"A": "pv", "B": "r"}, {"interest": ("C", "=CUMIPMT(B1,24,A1,3,12,0)"), "principal": ("D", "=CUMPRINC(B1,24,A1,3,12,0)")}, ["p_partkey"])
+    return df.select("p_partkey", r6("interest").alias("interest"), r6("principal").alias("principal"))

@@ -90,3 +90,14 @@ def lookup_unsorted_refused(spark, sf_dir):
     found = approximate_lookup(df, F.col("o_totalprice"), bands, "lower", ["name"])
     bad = unsorted(bands, "lower", "pos").select(F.col("inversions") > 0).scalar()
     return found.select("o_orderkey", F.when(~bad, F.col("name")).alias("band"), F.when(bad, "unsupported").otherwise("computed").alias("status"))
+
+
+@query(f"""
+WITH b(pos, lower, name) AS (VALUES {_VALUES}), d AS (SELECT o_orderkey, o_totalprice AS x FROM orders)
+SELECT o_orderkey, pos + 1 AS position, CAST(lower AS DOUBLE) AS reached FROM d ASOF LEFT JOIN b ON x >= lower""")
+def hlookup_match_position(spark, sf_dir):
+    """HLOOKUP and MATCH(…,1) over a band table that lies across: its row is turned into rows first."""
+    wide = spark.createDataFrame([tuple(k for k, _ in BANDS)], ", ".join(f"c{i} double" for i in range(len(BANDS))))
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("position"), F.col(f"c{i}").alias("lower")) for i in range(len(BANDS))])).alias("x")).select("x.*")
+    df = approximate_lookup(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), long.withColumn("reached", F.col("lower")), "lower", ["position", "reached"])
+    return df.select("o_orderkey", "position", "reached")

@@ -92,7 +92,7 @@ FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""")
 def date_parts_serial(spark, sf_dir):
     df = read(spark, sf_dir, "orders").withColumn("serial", serial("o_orderdate"))
     names = {"y": "=YEAR(A1)", "m": "=MONTH(A1)", "dd": "=DAY(A1)", "weekday2": "=WEEKDAY(A1,2)", "month_end": "=EOMONTH(A1,1)", "later": "=EDATE(A1,3)", "days_left": "=DAYS(DATE(2002,1,1),A1)", "new_year": "=DATE(YEAR(A1),1,1)"}
-    return filled(df, {"A": "serial"}, {n: (chr(66 + i), f) for i, (n, f) in enumerate(names.items())}, ["o_orderkey", "serial"]).drop("days_left_error")
+    return filled(df, {"A": "serial"}, {n: (chr(66 + i), f) for i, (n, f) in enumerate(names.items())}, ["o_orderkey", "serial"]).select("o_orderkey", "serial", *names)
 
 
 @query("""
@@ -131,3 +131,24 @@ def info_predicates(spark, sf_dir):
     df = read(spark, sf_dir, "events").withColumn("v", F.when(F.col("user_id") % 7 != 0, F.col("value"))).withColumn("fifth", (F.col("user_id") % 5).cast("double"))
     names = {"is_blank": "=ISBLANK(A1)", "is_number": "=ISNUMBER(A1)", "is_text": "=ISTEXT(A1)", "n_value": "=N(A1)", "t_value": "=T(B1)", "type_num": "=TYPE(A1)", "type_text": "=TYPE(B1)", "even": "=ISEVEN(D1)", "error_type": "=ERROR.TYPE(1/C1)"}
     return filled(df, {"A": "v", "B": "event_type", "C": "fifth", "D": "user_id"}, {n: (chr(69 + i), f) for i, (n, f) in enumerate(names.items())}, ["event_id"])
+
+
+@query("""
+SELECT p_partkey, CAST(unicode(p_name) AS DOUBLE) AS code, chr(CAST(65 + p_size % 26 AS INTEGER)) AS letter, CASE WHEN p_retailprice < 0 THEN '-' ELSE '' END || format('{:,.1f}', abs(CAST(round(CAST(p_retailprice AS DECIMAL(18,6)), 1) AS DOUBLE))) AS fixed1,
+       '$' || format('{:,.2f}', p_retailprice) AS dollars, CAST(CAST(round(CAST(p_size AS DECIMAL(18,6)) / 50 * 100, 1) AS DECIMAL(18,1)) AS VARCHAR) || '%' AS percent, lpad(CAST(p_size AS VARCHAR), 4, '0') AS padded,
+       concat_ws('/', nullif(p_brand, ''), nullif(p_type, '')) AS joined, CASE WHEN regexp_matches(p_name, '(?i)a.e') THEN CAST(length(regexp_extract(p_name, '^(?i:(.*?))(?i:a.e)', 1)) + 1 AS DOUBLE) END AS found, CASE WHEN NOT regexp_matches(p_name, '(?i)a.e') THEN '#VALUE!' END AS found_error FROM part""")
+def text_formats(spark, sf_dir):
+    """CODE, CHAR, FIXED, DOLLAR, TEXT, TEXTJOIN and SEARCH with wildcards."""
+    names = {"code": "=UNICODE(A1)", "letter": "=CHAR(65+MOD(B1,26))", "fixed1": "=FIXED(C1,1)", "dollars": "=DOLLAR(C1)", "percent": '=TEXT(B1/50,"0.0%")', "padded": '=TEXT(B1,"0000")', "joined": '=TEXTJOIN("/",TRUE,D1,E1)', "found": '=SEARCH("a?e",A1)'}
+    df = filled(read(spark, sf_dir, "part"), {"A": "p_name", "B": "p_size", "C": "p_retailprice", "D": "p_brand", "E": "p_type"}, {n: (chr(70 + i), f) for i, (n, f) in enumerate(names.items())}, ["p_partkey"])
+    return df.select("p_partkey", *names, "found_error")
+
+
+@query(f"""
+SELECT p_partkey, CAST(gcd(p_size * 6, 36) AS DOUBLE) AS divisor, CAST(lcm(p_size, 12) AS DOUBLE) AS multiple, CAST(factorial(p_size % 15) AS DOUBLE) AS fact, {s6("CAST(factorial(20) AS DOUBLE) / CAST(factorial(p_size % 9) AS DOUBLE) / CAST(factorial(20 - p_size % 9) AS DOUBLE)")} AS choose20,
+       ceil(p_retailprice / 7) * 7 AS up7, floor(-p_retailprice / 7) * 7 AS down7, CAST(p_size % 24 AS DOUBLE) AS h, CAST(p_size % 60 AS DOUBLE) AS mi FROM part""")
+def math_more(spark, sf_dir):
+    """GCD, LCM, FACT, COMBIN, CEILING.MATH, FLOOR.MATH and parts of a time of day."""
+    names = {"divisor": "=GCD(A1*6,36)", "multiple": "=LCM(A1,12)", "fact": "=FACT(MOD(A1,15))", "choose20": "=COMBIN(20,MOD(A1,9))", "up7": "=CEILING.MATH(B1,7)", "down7": "=FLOOR.MATH(-B1,7)", "h": "=HOUR(TIME(A1,30,0))", "mi": "=MINUTE(TIME(0,A1,0))"}
+    df = filled(read(spark, sf_dir, "part"), {"A": "p_size", "B": "p_retailprice"}, {n: (chr(67 + i), f) for i, (n, f) in enumerate(names.items())}, ["p_partkey"])
+    return df.select("p_partkey", "divisor", "multiple", "fact", r6("choose20").alias("choose20"), "up7", "down7", "h", "mi")

@@ -86,3 +86,15 @@ def range_union_intersect(spark, sf_dir):
     union = first.unionAll(second).groupBy("o_orderpriority").agg(F.sum("v").alias("both_areas"))
     shared = first.join(second.select("o_orderkey"), "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.sum("v").alias("shared"))
     return union.join(shared, "o_orderpriority", "left").select("o_orderpriority", F.col("both_areas").cast("double").alias("both_areas"), F.coalesce(F.col("shared").cast("double"), F.lit(0.0)).alias("shared"))
+
+
+@query("""
+WITH r AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS u FROM part)
+SELECT p_brand, max(v) FILTER (d = 3) AS large3, max(v) FILTER (u = 2) AS small2 FROM r GROUP BY p_brand""")
+def large_small_by_group(spark, sf_dir):
+    """LARGE and SMALL of each group: ranks are limited before rows meet, so no group is held whole."""
+    df = read(spark, sf_dir, "part").select("p_brand", F.col("p_retailprice").alias("v"))
+    w = Window.partitionBy("p_brand")
+    top = df.withColumn("k", F.row_number().over(w.orderBy(F.col("v").desc()))).filter("k <= 3").groupBy("p_brand").agg(F.max(F.when(F.col("k") == 3, F.col("v"))).alias("large3"))
+    low = df.withColumn("k", F.row_number().over(w.orderBy("v"))).filter("k <= 2").groupBy("p_brand").agg(F.max(F.when(F.col("k") == 2, F.col("v"))).alias("small2"))
+    return top.join(low, "p_brand")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from cellweave.formula.syntax import Binary, Call, Lit, Percent, Ref, Unary, parse, unparse
 from cellweave.formula.values import Err, Failed, Refusal, compare, number_text, parse_number
 from cellweave.functions.columns import COMPILERS
+from cellweave.functions.formats import format_number
+from cellweave.functions.scalars import set_number_formatter
 from cellweave.functions.library import implemented, lookup, refused
 from cellweave.operators.book import Book
 from cellweave.operators.ordered import approximate_lookup, exact_lookup, ranked, running, unsorted
@@ -76,6 +78,9 @@ FORMULAS = [
     "CONCATENATE(A1,C1,D1)", "AND(A1>0,D1)", "OR(A1>0,D1)", "XOR(A1>0,D1)", "NOT(D1)", "SWITCH(C1,\"ABC\",1,\"x\",2,3)", "SWITCH(B1,0,1,2,5)", "CHOOSE(B1+1,10,20)", "IFS(A1>5,1,A1>0,2)", "ISNUMBER(A1)", "ISTEXT(C1)", "ISBLANK(A1)", "ISERROR(A1/B1)", "ISNA(NA())", "ERROR.TYPE(A1/B1)", "N(D1)", "N(C1)", "T(C1)", "T(A1)", "TYPE(C1)",
     "ISEVEN(B1)", "ISODD(B1)", "SUM(A1,B1)", "MAX(A1,B1,3)", "AVERAGE(A1,B1)", "YEAR(E1)", "MONTH(E1)", "DAY(E1)", "WEEKDAY(E1)", "WEEKDAY(E1,2)", "WEEKDAY(E1,3)", "EDATE(E1,1)", "EOMONTH(E1,-1)", "DATE(YEAR(E1),MONTH(E1)+1,1)", "DAYS(E1,45000)", "DAYS360(E1,E1+45)", "DATEDIF(E1,E1+400,\"M\")", "DATEDIF(E1,E1+400,\"YM\")", "YEARFRAC(E1,E1+200)",
     "YEARFRAC(E1,E1+200,3)", "NETWORKDAYS(E1,E1+17)", "NETWORKDAYS(E1+9,E1)", "WORKDAY(E1,5)", "WORKDAY(E1,-7)", "WORKDAY(E1,0)", "PMT(B1/100,12,A1)", "FV(B1/100,12,A1)", "PV(B1/100,12,A1)", "IPMT(B1/100,3,12,A1)", "PPMT(B1/100,3,12,A1)", "NPER(B1/100,-50,A1)", "SLN(A1,1,B1)", "SYD(A1,1,5,2)", "DDB(ABS(A1)+5,1,5,2.5)", "EFFECT(B1/10,4)", "NOMINAL(B1/10,4)", "RRI(B1,A1,20)", "PDURATION(B1/100,A1,200)", "50%*A1",
+    "CHAR(A1+64)", "CHAR(233)", "UNICHAR(B1+9731)", "UNICODE(C1)", "CODE(C1)", "SEARCH(\"?b\",C1)", "SEARCH(\"A\",C1,2)", "FIXED(A1*1000,1)", "FIXED(A1,0,TRUE)", "DOLLAR(A1*1000)", "TEXTJOIN(\"-\",TRUE,C1,\"\",B1)", "NUMBERVALUE(C1)", "NUMBERVALUE(\"1.234,5\",\",\",\".\")",
+    "TEXT(A1,\"0.00\")", "TEXT(A1,\"#,##0.0\")", "TEXT(B1/8,\"0.0%\")", "TEXT(E1,\"yyyy-mm-dd\")", "TEXT(E1,\"mmm-yy\")", "TEXT(B1,\"0000\")", "TEXT(C1,\"0.0\")", "TIME(B1,B1*7,30)", "HOUR(E1+0.7)", "MINUTE(E1+0.7123)", "SECOND(E1+0.7123)", "DATEVALUE(\"2026-7-25\")", "DATEVALUE(C1)",
+    "TIMEVALUE(\"13:45\")", "TIMEVALUE(C1)", "FACT(B1)", "FACT(A1)", "COMBIN(9,B1)", "COMBIN(B1,9)", "CEILING.MATH(A1)", "CEILING.MATH(A1,2,1)", "FLOOR.MATH(A1,0.5)", "FLOOR.MATH(A1,2,1)", "GCD(B1*12,18)", "LCM(B1,6)", "CUMIPMT(B1/100,12,1000,2,5,0)", "CUMPRINC(B1/100,12,1000,2,5,1)", "NPV(B1/100,A1,10,-5)",
 ]
 VALUES = [(12.5, 2.0, "abc", True, 45_123.0), (0.0, 0.0, "", False, 46_081.0), (-7.25, 3.0, "aab a", True, 45_351.0), (1.005, 5.0, " Ab  c ", False, 45_292.0), (2.675, 1.0, "12", None, 45_688.0), (None, 4.0, None, True, 45_199.0), (1e17, 7.0, "x-y z", False, 46_022.0), (0.1, -2.0, "5%", True, 45_657.0)]
 
@@ -89,6 +94,7 @@ def test_typed_mode_is_cell_mode(spark):
         compiled[f] = i
         df = df.withColumns({f"v{i}": t.value.cast("double") if t.kind == "num" else t.value, f"e{i}": t.error if t.error is not None else F.lit(None).cast("string")})
     wrong = []
+    set_number_formatter(format_number)
     for row in df.collect():
         for f, i in compiled.items():
             book = Book()
@@ -108,6 +114,7 @@ def test_typed_mode_is_cell_mode(spark):
                 same = error is None and (math.isclose(got, want, rel_tol=1e-9, abs_tol=1e-9) if isinstance(want, float) else got == want)
             if not same:
                 wrong.append((f, VALUES[row.k], want, got, error))
+    set_number_formatter(None)
     assert not wrong, wrong[:12]
 
 
