@@ -122,3 +122,58 @@ def test_number_formats():
 
 def test_links():
     assert safe_link("https://x") and safe_link("mailto:a@b") and not safe_link("java\tscript:x") and not safe_link("file:///x")
+
+
+def test_capabilities(spark):
+    from cellweave.operators.capabilities import capabilities
+
+    rows = {r.function: r for r in capabilities(spark).collect()}
+    assert len(rows) == 230 and rows["SUM"].compiled and rows["SUM"].most is None and rows["OFFSET"].refusal and not rows["OFFSET"].compiled and rows["NOW"].volatile
+    assert sum(r.compiled for r in rows.values()) > 120
+
+
+def test_snapshot(spark, tmp_path):
+    from cellweave.sources import snapshot
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xlsx").write_bytes(package('<row r="1"><c r="A1"><f>1/0</f></c><c r="B1"><f>2*3</f></c></row>'))
+    overlay = ops.evaluate_workbooks(xlsx.cells(spark, str(tmp_path / "in")))
+    snapshot.save(overlay, str(tmp_path / "out"))
+    assert sorted(map(str, snapshot.load(spark, str(tmp_path / "out")).collect())) == sorted(map(str, overlay.collect()))
+
+
+def test_arrivals(spark, tmp_path):
+    from cellweave.streaming.workbooks import evaluate_arrivals
+
+    (tmp_path / "in").mkdir()
+    for name, n in (("a", 2), ("b", 5)):
+        (tmp_path / "in" / f"{name}.xlsx").write_bytes(package(f'<row r="1"><c r="A1"><v>{n}</v></c><c r="B1"><f>A1*10</f></c></row>'))
+        evaluate_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).filter("col = 2").collect()
+    assert sorted((r.batch, r.number) for r in rows) == [(0, 20.0), (1, 50.0)]
+
+
+def test_a_wide_workbook_with_holes():
+    """Columns read as arrays agree with cells read one by one, whatever changes while evaluating."""
+    import random
+
+    rnd = random.Random(8)
+    b = Book()
+    b.add_sheet("S")
+    for r in range(1, 60):
+        for c in range(1, 5):
+            kind = rnd.random()
+            if kind < 0.5:
+                b.set_value(0, r, c, rnd.randrange(9))
+            elif kind < 0.6:
+                b.set_value(0, r, c, rnd.choice(["x", True, None]))
+            elif kind < 0.8 and r > 3:
+                b.set_formula(0, r, c, f"=SUM({'ABCD'[c - 1]}1:{'ABCD'[c - 1]}{r - 1})-SUM({'ABCD'[c - 1]}2:{'ABCD'[c - 1]}{r - 1})+COUNT({'ABCD'[c - 1]}1:{'ABCD'[c - 1]}{r - 1})+IFERROR(MATCH(3,{'ABCD'[c - 1]}1:{'ABCD'[c - 1]}{r - 1},0),0)")
+    for r in range(1, 60):
+        b.set_formula(0, r, 8, f"=SUM(A$1:A{r})")
+        b.set_formula(0, r, 9, f"=VLOOKUP({rnd.randrange(1, 9)},A1:D59,3,FALSE)")
+    b.evaluate_all()
+    fast = {k: r.value for k, r in b.cells.items()}
+    b.numbers = b.position = lambda *a: None
+    b.evaluate_all()
+    assert fast == {k: r.value for k, r in b.cells.items()}
