@@ -11,6 +11,7 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,8 +79,8 @@ class OrdinalModel:
 
         grades = np.asarray(grades, np.int64)
         used, index = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-        value = np.concatenate([r[1] for r in rows])
-        row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        index, value = index.astype(np.int32), np.concatenate([r[1] for r in rows]).astype(np.float32)
+        row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[0]) for r in rows])
         n, m = len(rows), len(used)
         share = np.cumsum(np.bincount(grades, minlength=levels) + 1.0)[:-1]
         cuts = np.log(share / (n + levels - share))
@@ -120,12 +121,18 @@ def grades(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
 
-def _sampled(batches):
-    import pyarrow as pa
+def _summed(index, value):
+    """Each index once, its values added up."""
+    import numpy as np
+
+    index, where = np.unique(index, return_inverse=True)
+    return index, np.bincount(where, value)
+
 
+def _sampled(batches):
     only("ordinal")
     for batch in batches:
-        found = [features(t or b"") for t in batch.column(2).to_pylist()]
+        found = [_summed(*features(t or b"")) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())],
             ["doc_id", "grade", "index", "value"],
@@ -160,48 +167,49 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_sh
     return model, cut, report
 
 
-def _scored(batches, state, tail: int):
+def _scores(texts, state, tail: int):
+    """(expected grade, tail probability) of each text; without a model every text reaches the tail."""
     import numpy as np
-    import pyarrow as pa
 
     only("ordinal")
-    for batch in batches:
-        model = None
-        if state is not None:
-            index, weights, thresholds = state.value
-            full = np.zeros(DIMENSIONS)
-            full[index] = weights
-            model = OrdinalModel(full, thresholds)
-        expected, reached = [], []
-        for text in batch.column(batch.num_columns - 1):
-            tails = model.tails(*features(text.as_py() or b"")) if model else np.ones(1)
-            expected.append(float(tails.sum()))
-            reached.append(float(tails[tail - 1]) if model else 1.0)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(expected), pa.array(reached)], [*batch.schema.names[:-1], "expected_grade", "tail_probability"])
-
-
-def _graded(documents: DataFrame, labels: DataFrame, keep: list[str], options: dict):
+    model = None
+    if state is not None:
+        index, weights, thresholds = state.value
+        full = np.zeros(DIMENSIONS)
+        full[index] = weights
+        model = OrdinalModel(full, thresholds)
+    found = [model.tails(*features(t.as_py() or b"")) if model else np.ones(tail) for t in texts]
+    return pa.StructArray.from_arrays([pa.array([float(t.sum()) for t in found], pa.float64()), pa.array([float(t[tail - 1]) for t in found], pa.float64())], ["expected_grade", "tail_probability"])
+
+
+def _graded(documents: DataFrame, labels: DataFrame, options: dict):
+    """(``documents`` made ready, column with the scores, cut): only texts go to Python and only scores come back."""
     import numpy as np
 
-    levels = options.get("levels", 3)
-    tail = options.get("tail") or levels - 1
+    tail = options.get("tail") or options.get("levels", 3) - 1
     model, cut, _ = train(documents, labels, **options)
     state = None
     if model is not None:
         index = np.flatnonzero(model.weights)
         state = documents.sparkSession.sparkContext.broadcast((index, model.weights[index], model.thresholds))  # DIMENSIONS weights at most
-    kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("text").cast("binary").alias("_text"))
-    schema = kept.select("doc").schema.add("expected_grade", "double").add("tail_probability", "double")
-    return shipped(kept).mapInArrow(lambda batches: _scored(batches, state, tail), schema).withColumn("kept", F.col("tail_probability") >= cut)
+
+    @F.arrow_udf(returnType="expected_grade double, tail_probability double")
+    def score(texts: pa.Array) -> pa.Array:
+        return _scores(texts, state, tail)
+
+    return shipped(documents), score(F.col("text").cast("binary")), cut
 
 
 def quality_classifier(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, expected_grade (0 to levels - 1), tail_probability (of the selected grade or
     better) and kept. Whole texts; a null or empty text is judged by its size alone. Repeated rows get equal results,
     null doc_ids are kept. An empty table gives no rows; without labels of two grades every document is kept."""
-    return _graded(documents, labels, ["doc_id"], options).select("doc.doc_id", "expected_grade", "tail_probability", "kept")
+    df, score, cut = _graded(documents, labels, options)
+    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("_score"))
+    return df.select("doc_id", "_score.expected_grade", "_score.tail_probability", (F.col("_score.tail_probability") >= cut).alias("kept"))
 
 
 def keep_selected(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that the classifier keeps, with the columns they came with."""
-    return _graded(documents, labels, documents.columns, options).filter("kept").select("doc.*")
+    df, score, cut = _graded(documents, labels, options)
+    return df.filter(score["tail_probability"] >= cut)
