@@ -55,9 +55,9 @@ def _present(x):
     return None if x is None or x != x else x
 
 
-def load(pdf, now: float, names=()) -> Book:
+def load(pdf, now: float, names=(), date1904: bool = False) -> Book:
     """A workbook from its rows of cells; sheets without cells take part by number only."""
-    book = Book(now=now)
+    book = Book(now=now, date1904=date1904)
     known = {int(i): n for i, n in zip(pdf["sheet_index"], pdf["sheet"])}
     for k in range(max(known, default=-1) + 1):
         book.add_sheet(known.get(k) or f"\0{k}")
@@ -72,13 +72,13 @@ def load(pdf, now: float, names=()) -> Book:
     return book
 
 
-def _evaluated(pdf, now: float, names, formatted: bool, prefer_cached: bool):
+def _evaluated(pdf, now: float, names, formatted: bool, prefer_cached: bool, date1904: bool):
     import pandas as pd
 
     from ..functions.formats import format_number
 
     set_number_formatter(format_number if formatted else None)
-    book = load(pdf, now, names)
+    book = load(pdf, now, names, date1904)
     book.evaluate_all()
     stale = set(book.mismatched())
     rows = []
@@ -91,11 +91,26 @@ def _evaluated(pdf, now: float, names, formatted: bool, prefer_cached: bool):
     return pd.DataFrame(rows, columns=[c.split()[0] for c in OVERLAY.split(", ")])
 
 
-def evaluate_workbooks(cells: DataFrame, names: dict | None = None, now: float = 0.0, formatted: bool = True, prefer_cached_volatile: bool = True) -> DataFrame:
+def evaluate_workbooks(cells: DataFrame, names: dict | None = None, now: float = 0.0, formatted: bool = True, prefer_cached_volatile: bool = True, date1904: frozenset[str] = frozenset()) -> DataFrame:
     """The overlay: each cell's value, provenance and, where it has none, the reason. ``names`` maps workbook_id to its
-    (name, formula, sheet number or None) triples. ``now`` is the frozen clock as a serial."""
+    (name, formula, sheet number or None) triples. ``now`` is the frozen clock as a serial; ``date1904`` are the ids of
+    workbooks that count days from 1904."""
     names = names or {}
-    return shipped(cells).groupBy("workbook_id").applyInPandas(lambda pdf: _evaluated(pdf, now, names.get(pdf["workbook_id"].iloc[0], ()), formatted, prefer_cached_volatile), OVERLAY)
+
+    def run(pdf):
+        workbook = pdf["workbook_id"].iloc[0]
+        return _evaluated(pdf, now, names.get(workbook, ()), formatted, prefer_cached_volatile, workbook in date1904)
+
+    return shipped(cells).groupBy("workbook_id").applyInPandas(run, OVERLAY)
+
+
+def evaluate_files(spark, path: str, now: float = 0.0) -> DataFrame:
+    """The overlay of all .xlsx files below a path, with their defined names and calendars."""
+    from ..sources import xlsx
+
+    facts = xlsx.workbooks(spark, path).select("workbook_id", "names", "date1904").filter("date1904 or size(names) > 0").collect()  # only files with either
+    names = {f["workbook_id"]: [tuple(n) for n in f["names"]] for f in facts}
+    return evaluate_workbooks(xlsx.cells(spark, path), names, now, date1904=frozenset(f["workbook_id"] for f in facts if f["date1904"]))
 
 
 def provenance_counts(overlay: DataFrame) -> DataFrame:

@@ -177,3 +177,13 @@ def test_a_wide_workbook_with_holes():
     b.numbers = b.position = lambda *a: None
     b.evaluate_all()
     assert fast == {k: r.value for k, r in b.cells.items()}
+
+
+def test_names_and_the_1904_calendar(spark, tmp_path):
+    head = '<workbookPr date1904="1"/><definedNames><definedName name="Rate">0.5</definedName></definedNames>'
+    rows = '<row r="1"><c r="A1"><f>Rate*4</f></c><c r="B1"><f>YEAR(0)</f></c><c r="C1"><f>DATE(1904,1,2)</f></c><c r="D1"><f>WEEKDAY(0,2)</f></c><c r="E1"><f>EOMONTH(0,1)</f></c></row>'
+    (tmp_path / "old.xlsx").write_bytes(package(rows, head))
+    (tmp_path / "new.xlsx").write_bytes(package(rows))
+    got = {(r.workbook_id[-8:], r.col): r.err or r.number for r in ops.evaluate_files(spark, str(tmp_path)).collect()}
+    assert [got["old.xlsx", c] for c in range(1, 6)] == [2, 1904, 1, 5, 59]
+    assert [got["new.xlsx", c] for c in range(1, 6)] == ["#NAME?", 1900, 1463, 6, 60]
