@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Remembered, only, shipped, written
 
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 BLOCK = 256
 _CHUNK = 1 << 14
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -77,13 +78,20 @@ def node_of(grams) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
+@lru_cache(maxsize=8)
+def _permutations(n: int):
+    """Factors (odd) and offsets of n hash functions; always the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(20240229)
+    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
 def band_hashes(grams, bands: int, rows: int):
     """A 64-bit hash for each band of ``rows`` MinHash values."""
     import numpy as np
 
-    rng = np.random.default_rng(20240229)
-    a = rng.integers(0, 1 << 63, bands * rows, np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 1 << 63, bands * rows, np.uint64)
+    a, b = _permutations(bands * rows)
     least = None
     for at in range(0, len(grams), 2048):
         part = (grams[at : at + 2048, None] * a + b).min(axis=0)
@@ -204,17 +212,18 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float):
     nodes = written(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("bands").alias("bands")))
 
     members = nodes.select("node", F.explode("bands").alias("h"))
-    several = members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("home")).filter("c > 1").select("h", "home")
+    # what a group's rows are joined to is written first: such joins are between two shuffles, and Spark can split a hot group
+    several = written(members.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("home")).filter("c > 1").select("h", "home"))
     met = written(members.join(several, "h"))  # node, h, least node of the bucket
     home = met.groupBy("node").agg(F.min("home").alias("home"))
-    least = met.select("node", "h").join(home, "node").groupBy("h").agg(F.min("home").alias("home"))
+    least = written(met.select("node", "h").join(home, "node").groupBy("h").agg(F.min("home").alias("home")))
     home = written(met.select("node", "h").join(least, "h").groupBy("node").agg(F.min("home").alias("home")))
 
-    apart = met.select("node", "h").join(home, "node").groupBy("h").agg((F.min("home") != F.max("home")).alias("apart")).filter("apart")
+    apart = written(met.select("node", "h").join(home, "node").groupBy("h").agg((F.min("home") != F.max("home")).alias("apart")).filter("apart"))
     at_home = home.select(F.col("home").alias("key"), "node")
     in_bucket = met.select("node", "h").join(apart.select("h"), "h").select(F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), "node")
     groups = written(at_home.union(in_bucket))
-    counts = groups.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).alias("n_blocks"))
+    counts = written(groups.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).alias("n_blocks")))
     routes = groups.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("n_blocks")))
     routes = routes.withColumn("yours", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     routes = routes.select("key", "node", "mine", F.least("mine", "yours").alias("bi"), F.greatest("mine", "yours").alias("bj"))
@@ -229,7 +238,7 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float):
     whole = grouped.groupBy("label").agg(F.min("first").alias("class_first"))
     grouped = grouped.join(whole, "label").select("node", "class_first", "links")
     full = nodes.select("node", "copies", "first").join(grouped, "node", "left")
-    full = full.select("node", "first", F.coalesce("class_first", "first").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    full = written(full.select("node", "first", F.coalesce("class_first", "first").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
     return plain, signed, full
 
 
