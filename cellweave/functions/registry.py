@@ -171,8 +171,10 @@ def numbers_a(args) -> list[float]:
 class Call:
     """What a body may ask of the evaluation it runs in."""
 
-    def __init__(self, evaluator, row: int, col: int, sheet: int, arrays: bool = False):
+    def __init__(self, evaluator, row: int, col: int, sheet: int, arrays: bool = False, moved: int = 0):
         self.evaluator, self.row, self.col, self.sheet, self.arrays = evaluator, row, col, sheet, arrays
+        self.moved = moved  # rows by which relative references lie below those of the tree
+        self.volatile = False
 
     def value(self, tree):
         """Evaluates a lazy argument to whatever it is."""

@@ -57,7 +57,8 @@ def find_hardcoded(book: Book, most: int = MOST_FINDINGS) -> list[Finding]:
     # by line: shape of the formula -> positions on the line
     lines: dict[tuple, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
     numbers: dict[tuple, set[int]] = defaultdict(set)
-    for (s, r, c), tree in book._trees.items():
+    for s, r, c in book._trees:
+        tree = book.tree(s, r, c)
         key = shape(tree, r, c)
         lines["row", s, r][key].append(c)
         lines["column", s, c][key].append(r)
@@ -83,7 +84,7 @@ def _judge(book: Book, place, axis: str, at: int, shapes, typed: set[int]) -> Fi
         if len(members) < 2 or not _band(members, at, typed):
             continue
         anchor = (s, r, members[0]) if axis == "row" else (s, members[0], c)
-        tree = book._trees[anchor]
+        tree = book.tree(*anchor)
         meant = translate(tree, r - anchor[1], c - anchor[2])
         if _reads(book, s, tree) != _reads(book, s, meant):
             continue  # another series, such as last year's figures, typed in as a whole

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cellweave.formula.syntax import Binary, Call, Lit, Percent, Ref, Unary, parse, unparse
+from cellweave.formula.syntax import Binary, Call, Lit, Percent, Ref, Template, Unary, parse, translate, unparse
 from cellweave.formula.values import Err, Failed, Refusal, compare, number_text, parse_number
 from cellweave.functions.columns import COMPILERS
 from cellweave.functions.formats import format_number
@@ -50,6 +50,18 @@ def test_parse_inverts_unparse(tree):
     assert parse(unparse(tree)) == tree
 
 
+@settings(max_examples=300, deadline=None)
+@given(trees, st.integers(0, 40), st.integers(1, 60))
+def test_a_formula_filled_down_is_recognised(tree, down, row):
+    text, moved = unparse(tree), translate(tree, down, 0)
+    template = Template(text, row, parse(text))
+    assert template.fits(text, row)
+    if template.usable and template.fits(unparse(moved), row + down):
+        assert parse(unparse(moved)) == translate(parse(text), down, 0)
+    for other in (text + "+1", text.replace("A", "B")):
+        assert other == text or not template.fits(other, row)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.floats(-1e18, 1e18, allow_nan=False))
 def test_number_text_round_trips(x):
