@@ -4,26 +4,62 @@ from __future__ import annotations
 
 from ..formula.values import Failed
 from ..functions.aggregates import normal_cdf, normal_inverse, normal_pdf
-from ..functions.finance import root
+from ..functions.finance import PROBES, root
 
 
-def rates(pdf):
-    """IRR and XIRR of one customer's flows (k, v, days); left_over is the value at IRR."""
-    import pandas as pd
+def roots(flows, times, guess: float = 0.1):
+    """For each row of flows (zero where there is none) at its times the rate at which its value is 0; NaN if none is found.
 
-    pdf = pdf.sort_values("k")
-    v, t = pdf["v"].tolist(), [d / 365 for d in pdf["days"]]
+    As ``root``, for many rows at once: of the brackets between probes the one nearest to the guess, halved together; rows
+    without a bracket go by ``root``.
+    """
+    import numpy as np
 
-    def solved(f):
+    value = lambda rate: (flows / (1 + rate)[:, None] ** times).sum(1)
+    probes = np.array(sorted({*PROBES, guess}))
+    with np.errstate(all="ignore"):
+        known = np.stack([value(np.full(len(flows), p)) for p in probes], 1)
+        low, high = probes[:-1], probes[1:]
+        span = np.isfinite(known[:, :-1]) & np.isfinite(known[:, 1:]) & ((known[:, :-1] < 0) != (known[:, 1:] < 0))
+        away = np.where((low <= guess) & (guess <= high), 0.0, np.minimum(abs(low - guess), abs(high - guess)))
+        best = np.where(span, away, np.inf).argmin(1)
+        out = np.full(len(flows), np.nan)
+        ok = span.any(1)
+        a, b, below = low[best].copy(), high[best].copy(), np.take_along_axis(known, best[:, None], 1)[:, 0] < 0
+        for _ in range(200):
+            mid = (a + b) / 2
+            left = (value(mid) < 0) == below
+            a, b = np.where(left, mid, a), np.where(left, b, mid)
+            if (b - a <= 1e-16 * np.maximum(1, abs(mid))).all():
+                break
+        out[ok] = ((a + b) / 2)[ok]
+    for i in np.flatnonzero(~ok):
         try:
-            return root(f, 0.1)
+            out[i] = root(lambda r, i=i: float((flows[i] / (1 + r) ** times[i]).sum()), guess)
         except Failed:
-            return None
+            pass
+    return out
+
+
+def rates(frames):
+    """IRR and XIRR of customers' flows, many to a batch; ``flows`` are (k, v, days) in order. left_over is the value at IRR.
+    Flows of one sign have no rate."""
+    import numpy as np
+    import pandas as pd
 
-    irr = solved(lambda r: sum(x / (1 + r) ** i for i, x in enumerate(v)))
-    xirr = solved(lambda r: sum(x / (1 + r) ** y for x, y in zip(v, t)))
-    left = None if irr is None else round(sum(x / (1 + irr) ** i for i, x in enumerate(v)), 4)
-    return pd.DataFrame({"o_custkey": [pdf["o_custkey"].iloc[0]], "irr": [irr], "xirr": [xirr], "left_over": [left]})
+    for big in frames:
+        for at in range(0, len(big), 2000):
+            pdf = big.iloc[at : at + 2000]
+            rows = [[(x["v"], x["days"]) for x in f] for f in pdf["flows"]]
+            width = max(map(len, rows), default=1)
+            v = np.array([[x for x, _ in r] + [0.0] * (width - len(r)) for r in rows])
+            days = np.array([[d for _, d in r] + [0] * (width - len(r)) for r in rows]) / 365
+            periods = np.broadcast_to(np.arange(float(width)), v.shape)
+            mixed = (v > 0).any(1) & (v < 0).any(1)
+            irr, xirr = np.full(len(v), np.nan), np.full(len(v), np.nan)
+            irr[mixed], xirr[mixed] = roots(v[mixed], periods[mixed]), roots(v[mixed], days[mixed])
+            left = (v / (1 + irr)[:, None] ** periods).sum(1).round(4)
+            yield pd.DataFrame({"o_custkey": pdf["o_custkey"].to_numpy(), "irr": irr, "xirr": xirr, "left_over": left}).astype(object).where(lambda d: d.notna(), None)
 
 
 def normal(frames):

@@ -69,7 +69,9 @@ def finance_irr_rate(spark, sf_dir):
     day = F.to_date("o_orderdate")
     df = read(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(w).alias("k"), F.datediff(day, F.min(day).over(Window.partitionBy("o_custkey"))).alias("days"), "o_totalprice")
     df = df.select("o_custkey", "k", "days", (F.col("o_totalprice") * F.when(F.col("k") == 1, -3.0).otherwise(1.0)).alias("v"))
-    return shipped(df).groupBy("o_custkey").applyInPandas(rates, "o_custkey bigint, irr double, xirr double, left_over double")
+    # one customer's flows are one argument of IRR, so they come together; batches hold many customers
+    flows = df.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("k", "v", "days"))).alias("flows"))
+    return shipped(flows).mapInPandas(rates, "o_custkey bigint, irr double, xirr double, left_over double")
 
 
 @query(f"""
