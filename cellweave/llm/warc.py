@@ -164,7 +164,8 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame
     """
     rows = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"), F.lit(1).alias("marker"))
     slim = rows.filter(F.octet_length("html") >= least).select("key", "page_id", "digest")
-    tops = slim.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1 and top is not null").drop("c")
+    # written, so that its join is between two shuffles and Spark can split a hot digest
+    tops = written(slim.groupBy("digest").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("c")).filter("c > 1 and top is not null").drop("c"))
     again = slim.join(tops, "digest").filter("not page_id <=> top").select("key", "page_id", "digest", F.col("top").alias("refers_to"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), F.lit(0).alias("marker")).distinct()
     dealt = rows.unionByName(again).repartitionByRange("key", "page_id", "digest").sortWithinPartitions("key", "page_id", "digest", "marker")
     return written(shipped(dealt).mapInArrow(lambda batches: _write(batches, root), _MANIFEST)).filter("n > 0")
