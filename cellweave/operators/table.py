@@ -1,10 +1,10 @@
 """Table mode: a formula filled down a column becomes a column of a DataFrame.
 
-A Sheet names a DataFrame's columns by letters. Formulas are written as in row 1: ``A1`` is this row's A, ``A0``-like offsets are
-not needed because ``A2`` means the next row's and row 2's formula would say ``A1`` for the one before. Supported shapes: this
-row's cells, cells of rows around (a window), running ranges ``$A$1:A1``, sliding ranges, whole columns ``A:A`` (one
-aggregate, used as a scalar subquery), and conditional aggregates whose criteria are this row's cells (an aggregate by key
-and a left join). Anything else is refused, as a cell would be.
+A Sheet names a DataFrame's columns by letters. Formulas are written as they stand in one row, row 1 unless ``base`` says
+another: in row 2's formula ``A2`` is this row's A and ``A1`` the row's before. Supported shapes: this row's cells, cells of
+rows around (a window), running ranges ``$A$1:A1``, sliding ranges, whole columns ``A:A`` (one aggregate, used as a scalar
+subquery), and conditional aggregates whose criteria are this row's cells (an aggregate by key and a left join). Anything
+else is refused, as a cell would be.
 """
 
 from __future__ import annotations
@@ -50,6 +50,7 @@ class Sheet:
     cells: dict[str, object] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
     others: dict[str, "Sheet"] = field(default_factory=dict)
+    base: int = 1
 
     # ---- columns
 
@@ -116,14 +117,10 @@ class Sheet:
                 raise Refusal("REF_SHAPE", f"fixed cell {key} is not bound", key)
             return _lit(self.cells[key])
         t = self._column(self._named(ref.left))
-        if ref.top == 1:
+        if ref.top == self.base:
             return t
-        return Typed(F.lead(t.value, ref.top - 1).over(self._window()), t.kind, None if t.error is None else F.lead(t.error, ref.top - 1).over(self._window()))
-
-    def above(self, letter: str, rows: int = 1) -> Typed:
-        """The cell some rows above: what row 2's formula calls ``A1``."""
-        t = self._column(self.columns[letter])
-        return Typed(F.lag(t.value, rows).over(self._window()), t.kind)
+        away = ref.top - self.base
+        return Typed(F.lead(t.value, away).over(self._window()), t.kind, None if t.error is None else F.lead(t.error, away).over(self._window()))
 
     def _call(self, name: str, args) -> Typed:
         f = lookup(name)
@@ -205,9 +202,9 @@ class Sheet:
             else:
                 value = sheet.df.select(_aggregated(name, x)).scalar()  # one row: a subquery, evaluated once
         elif ref.fixed[0] and not ref.fixed[2]:
-            value = _aggregated(name, x, self._window().rowsBetween(Window.unboundedPreceding, ref.bottom - 1))
+            value = _aggregated(name, x, self._window().rowsBetween(Window.unboundedPreceding, ref.bottom - self.base))
         elif not ref.fixed[0] and not ref.fixed[2]:
-            value = _aggregated(name, x, self._window().rowsBetween(ref.top - 1, ref.bottom - 1))
+            value = _aggregated(name, x, self._window().rowsBetween(ref.top - self.base, ref.bottom - self.base))
         else:
             raise Refusal("REF_SHAPE", f"{unparse(ref)} has no column form", unparse(ref))
         value = value.cast("double")
@@ -215,18 +212,18 @@ class Sheet:
 
     # ---- adding columns
 
-    def add(self, letter: str, name: str, formula: str) -> "Sheet":
+    def add(self, letter: str, name: str, formula: str, base: int = 1) -> "Sheet":
         """The sheet with one more column; ``name_error`` beside it where errors can arise.
 
         A formula that is one conditional aggregate with criteria from this row, or is built around such, is computed by key.
         """
         tree = parse(formula)
-        sheet, found = self, {}
+        sheet, found = Sheet(self.df, self.columns, self.order, self.within, self.cells, self.errors, self.others, base), {}
         for node in walk(tree):
             if isinstance(node, Call) and node.name in _CONDITIONAL and node not in found:
                 sheet, column = sheet._keyed(node, f"_k{len(found)}_{name}")
                 found[node] = column
-        inner = Sheet(sheet.df, {**sheet.columns}, sheet.order, sheet.within, sheet.cells, {**sheet.errors}, sheet.others)
+        inner = Sheet(sheet.df, {**sheet.columns}, sheet.order, sheet.within, sheet.cells, {**sheet.errors}, sheet.others, base)
         t = _Bound(inner, found)._tree(tree)
         value = t.value.cast("double") if t.kind == "num" else t.value
         df = sheet.df.withColumn(name, value if t.kind != "err" else F.lit(None).cast("double"))
@@ -273,7 +270,7 @@ class Sheet:
             left = self.df.withColumns({f"_m{i}": m for i, m in enumerate(mine)})
             on = [F.col(f"_m{i}").eqNullSafe(F.col(f"_g{i}")) for i in range(len(keys))]
             df = left.join(by, on, "left").withColumn(column, F.coalesce(F.col("_agg"), empty)).drop("_agg", *[f"_m{i}" for i in range(len(keys))], *[f"_g{i}" for i in range(len(keys))])
-        return Sheet(df, self.columns, self.order, self.within, self.cells, self.errors, self.others), column
+        return Sheet(df, self.columns, self.order, self.within, self.cells, self.errors, self.others, self.base), column
 
 
 class _Bound:

@@ -60,9 +60,8 @@ SELECT ym, CAST(v AS DOUBLE) AS v, coalesce(CAST(CAST(CAST(CAST(v AS DOUBLE) / C
 def prev_row_growth(spark, sf_dir):
     """C7/B7-1 with the row before; "" where there is none. Months are few, so their window is small."""
     m = read(spark, sf_dir, "orders").groupBy((F.year("o_orderdate") * 100 + F.month("o_orderdate")).alias("ym")).agg(F.sum(money("o_totalprice")).cast("double").alias("v"))
-    sheet = Sheet(m, {"A": "ym", "B": "v"}, order=["ym"])
-    before = sheet.above("B").value
-    return m.withColumn("growth", F.coalesce((F.col("v") / before - 1).cast("decimal(18,4)").cast("string"), F.lit("")))
+    df = Sheet(m, {"A": "ym", "B": "v"}, order=["ym"]).add("C", "first", "=ISBLANK(B1)", base=2).add("D", "ratio", "=B2/B1-1", base=2).df
+    return df.select("ym", "v", F.when(F.col("first"), "").otherwise(F.col("ratio").cast("decimal(18,4)").cast("string")).alias("growth"))
 
 
 @query("""
@@ -71,9 +70,9 @@ SELECT CAST(day - DATE '1899-12-30' AS DOUBLE) AS day, CAST(CAST(avg(CAST(v AS D
 def sliding_avg(spark, sf_dir):
     """AVERAGE of this row and the two before."""
     d = read(spark, sf_dir, "events").groupBy(F.datediff(F.to_date("ts"), F.lit("1899-12-30").cast("date")).cast("double").alias("day")).agg(F.sum(money("value")).cast("double").alias("v"))
-    # filled from row 3 the formula says AVERAGE(A1:A3); rows with fewer before them average what there is
-    w = Window.orderBy("day").rowsBetween(-2, 0)
-    return d.select("day", F.avg("v").over(w).cast("decimal(30,4)").cast("double").alias("trailing"))
+    # as in row 3; rows with fewer before them average what there is
+    df = Sheet(d, {"A": "day", "B": "v"}, order=["day"]).add("C", "mean", "=AVERAGE(B1:B3)", base=3).df
+    return df.select("day", F.col("mean").cast("decimal(30,4)").cast("double").alias("trailing"))
 
 
 @query("""
