@@ -93,7 +93,7 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, leas
     judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.count_if(F.col("m.verdict") == v) / F.count(F.lit(1))
     seeds = judged.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagated(written(host_links(pages)), seeds)
+    scores = written(propagated(written(host_links(pages)), seeds))  # its join with the pages can be split at a hot host
     bad = (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") >= least)
     verdict = F.coalesce(F.col("m.verdict"), F.when(bad, "block").otherwise("allow"))
     return judged.join(scores, "host", "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
