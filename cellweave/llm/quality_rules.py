@@ -121,8 +121,8 @@ def thresholds(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -
     # the most labelled strata keep their own row; the others are summed into the row '*'
     ranked = good.orderBy(F.col("n").desc(), "stratum").limit(MAX_STRATA).select("stratum", F.lit(True).alias("own"))
     good = good.join(F.broadcast(ranked), "stratum", "left").withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise("*"))
-    good = good.groupBy("stratum").agg(*[F.sum(c).alias(c) for c in good.columns if c not in ("stratum", "own")])
-    tests = (MAX_STRATA + 1) * sum(map(len, GRID.values()))
+    good = written(good.groupBy("stratum").agg(*[F.sum(c).alias(c) for c in good.columns if c not in ("stratum", "own")]))
+    tests = max(1, good.count()) * sum(map(len, GRID.values()))
     best = [
         F.array_min(F.filter(F.array(*[F.when(binomial_tail(F.col(f"{s}_{i}"), F.col("n"), alpha / len(GRID)) <= delta / tests, F.lit(c)) for i, c in enumerate(cuts)]), lambda x: x.isNotNull())).alias(f"{s}_cut")
         for s, cuts in GRID.items()

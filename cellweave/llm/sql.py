@@ -9,8 +9,7 @@ from . import warc
 
 
 def op1() -> str:
-    n_tests = (q.MAX_STRATA + 1) * sum(map(len, q.GRID.values()))
-    p, delta = q.ALPHA / len(q.GRID), q.DELTA / n_tests
+    p, each = q.ALPHA / len(q.GRID), sum(map(len, q.GRID.values()))
     grid = ", ".join(f"('{s}', {c}::DOUBLE)" for s, cuts in q.GRID.items() for c in cuts)
     long = " UNION ALL ".join(f"SELECT doc_id, stratum, '{s}' AS signal, {s} AS value FROM s" for s in q.GRID)
     return rf"""
@@ -37,7 +36,7 @@ k AS (SELECT stratum, signal, cut, count(*) AS n, count(*) FILTER (value > cut)
       FROM f JOIN m USING (doc_id) JOIN s USING (doc_id, stratum) JOIN v USING (signal) WHERE good AND NOT base_failed
       GROUP BY stratum, signal, cut),
 a AS (SELECT stratum, signal, min(cut) AS cut FROM k
-      WHERE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {delta}
+      WHERE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {q.DELTA} / ((SELECT count(DISTINCT stratum) FROM k) * {each})
       GROUP BY stratum, signal),
 x AS (SELECT f.doc_id, bool_or(coalesce(value > cut, FALSE)) AS over FROM f LEFT JOIN a USING (stratum, signal) GROUP BY f.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT over AS kept, stratum
