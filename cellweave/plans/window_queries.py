@@ -36,7 +36,7 @@ def rank_largek(spark, sf_dir):
     df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     large = df.orderBy(F.col("c_acctbal").desc()).limit(10).agg(F.min("c_acctbal")).scalar()
     small = df.orderBy("c_acctbal").limit(5).agg(F.max("c_acctbal")).scalar()
-    return ranked(df, F.col("c_acctbal"), "place").select("c_custkey", F.col("place").cast("int").alias("place"), (F.col("c_acctbal") >= large).alias("top10"), small.alias("small5"))
+    return ranked(df, F.col("c_acctbal"), "place").select("c_custkey", F.col("place").cast("bigint").alias("place"), (F.col("c_acctbal") >= large).alias("top10"), small.alias("small5"))
 
 
 @query("""
