@@ -6,7 +6,7 @@ import math
 import re
 from statistics import NormalDist
 
-from ..formula.values import DIV0, MAX_COLS, MAX_ROWS, NA, NUM, REF, VALUE, Err, Failed, Refusal, compare, parse_number, rank, to_number, to_text
+from ..formula.values import DIV0, MAX_COLS, MAX_ROWS, NA, NUM, REF, VALUE, Err, Failed, Refusal, compare, parse_number, rank, to_text
 from .registry import MISSING, Area, Grid, define, grid_of, is_range, numbers, numbers_a, values_of
 from .scalars import has_wildcard, wildcard
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from ..formula.values import MAX_COLS, MAX_ROWS, NA, REF, VALUE, Err, Failed, Refusal, compare, rank, to_bool, to_text
+from ..formula.values import NA, REF, VALUE, Err, Failed, Refusal, compare, rank, to_bool
 from .registry import MISSING, Area, Areas, Grid, define, grid_of, is_range
 from .scalars import has_wildcard, wildcard
 

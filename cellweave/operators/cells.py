@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..formula.syntax import Call, parse, walk
-from ..formula.values import Err, Refusal, address, agree
+from ..formula.values import Err, Refusal, address
 from ..functions.registry import lookup
 from ..functions.scalars import set_number_formatter
 from ..sources.xlsx import spread

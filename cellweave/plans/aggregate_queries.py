@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import Typed, rounded
-from ..operators.table import Sheet, matches, row_criterion
-from .common import filled, money, r6, read, s6
+from ..functions.columns import Typed
+from ..operators.table import Sheet, matches
+from .common import filled, money, r6, read
 
 QUERIES, SQL = {}, {}
 

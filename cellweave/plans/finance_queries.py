@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cells import shipped
 from ..operators.solvers import normal, rates
-from .common import filled, money, r6, read, s6
+from .common import filled, r6, read, s6
 
 QUERIES, SQL = {}, {}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .common import filled, money, r6, read, s6, serial
+from .common import filled, r6, read, s6, serial
 
 #: All queries of this module, filled below.
 QUERIES, SQL = {}, {}

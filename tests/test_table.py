@@ -6,16 +6,16 @@ import os
 import random
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cellweave.formula.syntax import Binary, Call, Lit, Percent, Ref, Template, Unary, parse, translate, unparse
-from cellweave.formula.values import Err, Failed, Refusal, compare, number_text, parse_number
+from cellweave.formula.values import Err, Refusal, compare, number_text, parse_number
 from cellweave.functions.columns import COMPILERS
 from cellweave.functions.formats import format_number
 from cellweave.functions.scalars import set_number_formatter
-from cellweave.functions.library import implemented, lookup, refused
+from cellweave.functions.library import implemented, refused
 from cellweave.operators.book import Book
 from cellweave.operators.ordered import approximate_lookup, exact_lookup, ranked, running, unsorted
 from cellweave.operators.table import Sheet, matches, row_criterion
