@@ -1,6 +1,6 @@
 """Exact SentencePiece BPE encoding by backtracking, and decoding.
 
-The reference result merges, of all neighbouring symbols whose union is a piece, the pair of best score, leftmost
+The exact result merges, of all neighbouring symbols whose union is a piece, the pair of best score, leftmost
 first, until none is left. A sequence of pieces is that result exactly when each piece merges to itself and each pair
 of neighbours merges to itself, because merges in one stretch do not depend on other stretches. So the text is
 covered greedily: at each position the longest piece (Aho-Corasick) that is compatible with the piece before it, where

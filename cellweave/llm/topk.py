@@ -199,8 +199,9 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     blocks = written(shipped(rows).mapInArrow(lambda batches: _pack(batches, scale), _BLOCKS))
     queries = blocks.filter("kind = 'q'").select(F.col("block").alias("q"), "dims", "ids", "vectors")
     # a run is up to RUN blocks of candidates, by rank of the block among its dimension's
-    x = blocks.filter("kind = 'x'").withColumn("run", F.floor((F.row_number().over(Window.partitionBy("dims").orderBy("block")) - 1) / RUN))
-    names = x.select("dims", "block", "run")  # a row for each block
+    # (ranks are made of the blocks' names alone; their vectors stay where they are)
+    names = blocks.filter("kind = 'x'").select("dims", "block").withColumn("run", F.floor((F.row_number().over(Window.partitionBy("dims").orderBy("block")) - 1) / RUN))
+    x = blocks.filter("kind = 'x'").join(names.select("block", "run"), "block")
     runs = names.select("dims", "run").distinct()
     meets = blocks.filter("kind = 'q'").select(F.col("block").alias("q"), "dims").join(runs, "dims")
     tasks = meets.select("q", "dims", "run", F.concat_ws("/", "q", "dims", "run").alias("task"))
