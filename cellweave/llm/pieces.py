@@ -26,7 +26,7 @@ _BATCH = 2000
 class PieceEncoder:
     """Encodes with the pieces and scores of a SentencePiece BPE model with byte fallback and identity normalization."""
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 600_000):
         import ahocorasick
         import sentencepiece
 
@@ -47,7 +47,7 @@ class PieceEncoder:
         self._by_line = not any("\n" in p for p in self.ids)
         self._by_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._whole = Remembered(lambda p: self.merged(p) == [p], 100_000, "pieces")
-        self._fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], 250_000, "pieces")
+        self._fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], 400_000, "pieces")
         self._spaced = Remembered(lambda part: self._encoded(SPACE + part), most, "pieces")
         self._plain = Remembered(self._encoded, most // 4, "pieces")
 
