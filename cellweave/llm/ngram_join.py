@@ -4,7 +4,7 @@ Documents with the same set of word n-grams form one node, so copies never meet
 are chosen so that a pair at the threshold shares a band with the wanted probability. Nodes meet in the buckets of their
 band hashes. To compare each pair once and to move each text a few times only, every node gets a home (the least node met
 through shared buckets, two steps far); pairs with one home are compared there, other pairs in the first bucket they
-share. Groups beyond BLOCK nodes are cut into blocks and each pair of blocks is a task of its own, so no group
+share. Groups beyond BLOCK nodes or BLOCK_GRAMS n-grams are cut into blocks and each pair of blocks is a task of its own, so no group
 is ever in one place. A task gives each node's number of links and a spanning forest of the links, never all pairs.
 """
 
@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from .common import Remembered, only, shipped, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-BLOCK = 256
+#: Nodes and n-grams of a block, on average; a task holds two blocks.
+BLOCK, BLOCK_GRAMS = 256, 1_000_000
 _CHUNK = 1 << 14
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_SIGNED = "doc_id bigint, rk1 bigint, rk2 bigint, node binary, bands array<bigint>"
+_SIGNED = "doc_id bigint, rk1 bigint, rk2 bigint, node binary, n_grams int, bands array<bigint>"
 _FOUND = "node binary, other binary, links bigint"
 
 
@@ -108,14 +109,15 @@ def _sign(batches, n: int, bands: int, rows: int):
 
     only("ngrams")
     for batch in batches:
-        nodes, hashes = [], []
+        nodes, sizes, hashes = [], [], []
         for text in batch.column(3):
             grams = shingles(text.as_py() or b"", n)
             nodes.append(node_of(grams) if len(grams) else None)
+            sizes.append(len(grams))
             hashes.append(band_hashes(grams, bands, rows) if len(grams) else None)
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(i) for i in range(3)], pa.array(nodes, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))],
-            ["doc_id", "rk1", "rk2", "node", "bands"],
+            [*[batch.column(i) for i in range(3)], pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))],
+            ["doc_id", "rk1", "rk2", "node", "n_grams", "bands"],
         )
 
 
@@ -209,7 +211,7 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float):
     ready = shipped(plain.select("doc_id", "rk1", "rk2", F.col("text").cast("binary").alias("text")))
     signed = written(ready.mapInArrow(lambda batches: _sign(batches, n, bands, rows), _SIGNED))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rk1", "rk2")
-    nodes = written(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.first("bands").alias("bands")))
+    nodes = written(signed.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"), F.max("n_grams").alias("n_grams"), F.first("bands").alias("bands")))
 
     members = nodes.select("node", F.explode("bands").alias("h"))
     # what a group's rows are joined to is written first: such joins are between two shuffles, and Spark can split a hot group
@@ -222,9 +224,10 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float):
     apart = written(met.select("node", "h").join(home, "node").groupBy("h").agg((F.min("home") != F.max("home")).alias("apart")).filter("apart"))
     at_home = home.select(F.col("home").alias("key"), "node")
     in_bucket = met.select("node", "h").join(apart.select("h"), "h").select(F.unhex(F.lpad(F.hex("h"), 16, "0")).alias("key"), "node")
-    groups = written(at_home.union(in_bucket))
-    counts = written(groups.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", F.ceil(F.col("c") / BLOCK).alias("n_blocks")))
-    routes = groups.join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("n_blocks")))
+    groups = written(at_home.union(in_bucket).join(nodes.select("node", "n_grams"), "node"))
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum("n_grams").alias("s")).filter("c > 1")
+    counts = written(sizes.select("key", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("s") / BLOCK_GRAMS)).alias("n_blocks")))
+    routes = groups.drop("n_grams").join(counts, "key").withColumn("mine", F.pmod(F.xxhash64("node", "key"), F.col("n_blocks")))
     routes = routes.withColumn("yours", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     routes = routes.select("key", "node", "mine", F.least("mine", "yours").alias("bi"), F.greatest("mine", "yours").alias("bj"))
     routes = routes.join(nodes.join(home, "node").select("node", "home", "copies", "bands", "first.rk1", "first.rk2"), "node")

@@ -340,3 +340,12 @@ def test_classifier_edges(spark, rows):
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got)
     assert ordinal.quality_classifier(make(spark, []), labels).count() == 0
     assert ordinal.quality_classifier(df, labels.limit(0)).filter("kept").count() == len(rows)
+
+
+def test_blocks_by_size_change_nothing(spark, monkeypatch):
+    """Groups cut into many blocks, because their texts are long, give the same links."""
+    rows = family(seed=12, members=40)
+    df = make(spark, rows)
+    whole = sorted(map(str, ngram_join.ngram_join(df, recall=1 - 1e-9).collect()))
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 500)
+    assert sorted(map(str, ngram_join.ngram_join(df, recall=1 - 1e-9).collect())) == whole
