@@ -2,7 +2,8 @@
 
 P(grade <= k | x) = sigmoid(t_k - w.x) with ordered thresholds t and weights w shared by all grades, so one score gives
 the whole distribution: its expected grade and the probability of each tail. Features of a text are hashed into a fixed
-number of weights: its words, the shapes of its words, and coarse counts of the text as a whole.
+number of weights: its words, the shapes of its words, and coarse counts of the text as a whole. Only features that go with
+a grade more than chance lets any of them have a weight, or the fit would learn its rows by their rare words.
 """
 
 from __future__ import annotations
@@ -114,6 +115,25 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - float(self.weights[index] @ value), -60, 60)))
 
 
+def evidence(rows: list[tuple], grades, levels: int):
+    """How surely each feature goes with a grade: the largest of its standard scores over the grades, by the rows it is in.
+
+    0 for features of one row, and for those below the score that the greatest of as many chance features comes to.
+    """
+    import numpy as np
+
+    grades = np.asarray(grades, np.int64)
+    used, index = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    met, score = np.bincount(index, minlength=len(used)), np.zeros(len(used))
+    for k in range(levels):
+        p = (np.sum(grades == k) + 1) / (len(rows) + levels)
+        score = np.maximum(score, np.abs(np.bincount(index, grades[row] == k, len(used)) - met * p) / np.sqrt(met * p * (1 - p) + 1))
+    out = np.zeros(DIMENSIONS)
+    out[used] = np.where((met > 1) & (score > math.sqrt(2 * math.log(max(1, len(used))))), score, 0.0)
+    return out
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """doc_id, grade: 0 poor, 1 toxic, 2 good; the lowest of several labels counts, null labels take no part."""
     poor, toxic = F.col("quality") < 1, F.coalesce(F.col("toxic"), F.lit(0)) >= 1
@@ -140,7 +160,7 @@ def _sampled(batches):
 
 
 def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_share: float = KEEP_SHARE, levels: int = 3, tail: int | None = None):
-    """(model, cut, report): fitted on at most ``sample`` labelled documents on the driver.
+    """(model, cut, report): fitted on at most ``sample`` labelled documents on the driver, each feature by its evidence.
 
     ``cut`` is the tail probability that ``keep_share`` of the held-out documents of grade ``tail`` or better (default:
     the top grade) reach. Without labelled documents the model is None: nothing is rejected.
@@ -158,7 +178,11 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_sh
         return None, 0.0, {"rows": len(rows)}
     x = [(np.frombuffer(r["index"], "<i4").astype(np.int64), np.frombuffer(r["value"], "<f4").astype(np.float64)) for r in rows]
     held = np.arange(len(x)) % 4 == 3
-    model = OrdinalModel.fit([r for r, h in zip(x, held) if not h], y[~held], levels)
+    fitted = [r for r, h in zip(x, held) if not h]
+    scale = evidence(fitted, y[~held], levels)
+    sure = [scale[i] > 0 for i, _ in fitted]
+    model = OrdinalModel.fit([(i[s], v[s] * scale[i[s]]) for (i, v), s in zip(fitted, sure)], y[~held], levels)
+    model.weights *= scale
     tails = np.array([model.tails(*r)[tail - 1] for r, h in zip(x, held) if h])
     good = np.sort(tails[y[held] >= tail])
     cut = float(good[int((1 - keep_share) * len(good))]) if len(good) else 0.0

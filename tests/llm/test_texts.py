@@ -331,6 +331,21 @@ def test_classifier_on_held_out_documents(spark):
     assert report["kept_by_grade"][2] >= 0.98 and report["kept_by_grade"][0] <= 0.2 and 0 <= cut <= 0.5
 
 
+def test_classifier_rejects_held_out_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model, _, report = ordinal.train(docs, labels)
+    kept = report["kept_by_grade"]
+    assert kept[0] <= 0.05 and kept[1] <= 0.25 and kept[2] >= ordinal.KEEP_SHARE - 0.002, kept
+    assert all(model.weights[ordinal._word(w)] < 0 for w in (b"trash", b"idiot", b"scum"))
+
+
+def test_features_met_by_chance_have_no_evidence():
+    y = np.arange(400) % 2
+    rows = [(np.unique(np.array([1, 10 + i % 7, 100 + i // 2, 1000 + i] + ([2] if g else []))), None) for i, g in enumerate(y)]
+    got = ordinal.evidence(rows, y, 2)
+    assert np.flatnonzero(got).tolist() == [2]
+
+
 def test_classifier_edges(spark, rows):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     df = make(spark, rows, True)
