@@ -194,12 +194,15 @@ def mixed_sizes(documents: DataFrame, seed: int = 7) -> DataFrame:
     return mix(documents, ["doc_id"], seed).select("doc.doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
-def mixed_documents(documents: DataFrame, seed: int = 7) -> DataFrame:
+def mixed_documents(documents: DataFrame, seed: int = 7, whole: bool = False) -> DataFrame:
     """The documents as the mix reads them: one row for each copy taken, with the columns they came with.
 
-    A copy taken in part, one of a source at most, has its leading words, set apart by single spaces.
+    A copy taken in part, one of a source at most, has its leading words, set apart by single spaces. With ``whole`` it is
+    taken whole and unchanged: a source is then above its target by less than one document, and none loses its last one.
     """
     df = mix(documents, documents.columns, seed).select("doc", "size", F.explode("draws").alias("draw"))
+    if whole:
+        return df.select(*[F.col(f"doc.`{c}`").alias(c) for c in documents.columns])
     part = F.array_join(F.slice(words(F.col("doc.text")), 1, F.col("draw.words").cast("int")), " ")
     text = F.when(F.col("draw.words") < F.col("size"), part).otherwise(F.col("doc.text"))
     changed = {"text": text} | ({"n_chars": F.when(F.col("draw.words") < F.col("size"), F.length(text).cast("long")).otherwise(F.col("doc.n_chars"))} if "n_chars" in documents.columns else {})

@@ -36,8 +36,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their targets: a row for each copy that the mix takes."""
-    return mixed_documents(docs)
+    """Sources are mixed to their targets, to a whole document: a row for each copy that the mix takes."""
+    return mixed_documents(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,20 @@ def test_mixing(spark, rows):
     assert mixing.mixed_sizes(make(spark, [])).count() == 0 and mixing.mixed_documents(make(spark, [])).count() == 0
 
 
+def test_pipeline_mixes_whole_documents(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    texts = [(i, "\n".join(" ".join(rnd.choice("ab cd ef gh".split()) for _ in range(9)) + "  " for _ in range(rnd.randint(1, 40))), "en", f"s{i % 4}") for i in range(60)]
+    df = make(spark, texts + [(60, "one\n\nlong  text " * 500, "en", "s9")])
+    cut = [r for r in mixing.mixed_sizes(df).collect() if r.taken % r.size]
+    assert cut  # some copies end inside their document
+    got = corpus_pipeline.mix(spark, df, None)
+    assert got.subtract(df).count() == 0
+    copies = Counter(r.doc_id for r in got.collect())
+    assert all(copies[r.doc_id] == -(-r.taken // r.size) for r in mixing.mixed_sizes(df).collect())
+
+
 # ---- op 5
 
 
