@@ -119,15 +119,38 @@ def test_segment_bounds_hold_and_prune():
     import numpy as np
 
     rnd = np.random.default_rng(1)
-    centres = rnd.normal(size=(40, 64)) * 40
-    x = np.floor(np.repeat(centres, 50, 0) + rnd.normal(size=(2000, 64)))
-    q = x[:20]
-    for segments in topk.SEGMENTS:
-        (qm, qd), (xm, xd) = topk.statistics(q, segments), topk.statistics(x, segments)
-        assert (qm @ xm.T + qd @ xd.T >= q @ x.T - 1e-6).all()
-    searcher = topk.Searcher(np.arange(20), q)
-    searcher.add(np.arange(2000), x)
-    assert searcher.exact < 0.5 * 20 * 2000  # most pairs never meet exactly
+    x = np.floor(rnd.normal(size=(3000, 64)) * np.linspace(40, 4, 64))
+    ids, q = np.arange(3000), x[:20]
+    turn = topk.rotation(x[::3])
+    assert np.allclose(turn @ turn.T, np.eye(64))
+    searcher = topk.Searcher(ids[:20], q, None, turn)
+    # every pair that a bound rules out scores below the query's k-th best
+    for at in range(0, 3000, 500):
+        reached = set(searcher.reached(topk.summary(x[at : at + 500] @ turn)).tolist())
+        floor = searcher.floor.copy()
+        scores = topk.exact_products(q, x[at : at + 500])
+        assert all(scores[i].max() < floor[i] for i in range(20) if i not in reached)
+        searcher.add(ids[at : at + 500], x[at : at + 500])
+    assert searcher.exact < 0.25 * 20 * 3000  # most pairs never meet exactly
+    found = sorted(zip(*(c.tolist() for c in searcher.rows())))
+    want = [(i, j, s) for i in range(20) for s, j in sorted(((int(q[i] @ x[j]), j) for j in range(3000) if j != i), key=lambda p: (-p[0], p[1]))[:20]]
+    assert found == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 5, 300])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, n):
+    rnd = random.Random(n)
+    rows = [(i, [float(rnd.randrange(-3, 4)) for _ in range(rnd.choice([2, 8]))]) for i in range(n)] + [(20, [1.0] * 8)] * 60  # one very common vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(map(tuple, topk.top_k(df).collect()))
+    brute = []
+    for q, v in rows:
+        if q % 20 == 0:
+            brute += [(q, -sum(math.floor(64 * a) * math.floor(64 * b) for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v)]
+    best = []
+    for q in {b[0] for b in brute}:
+        best += [(q, k + 1, i, -s) for k, (_, s, i) in enumerate(sorted(b for b in brute if b[0] == q)[:20])]
+    assert want == sorted(best)
 
 
 # ---- registered queries
