@@ -3,9 +3,9 @@
 Documents of a source are put in an order drawn by hash and cut into blocks of about DOCS_PER_BLOCK; a source's quota is
 the number of blocks its target needs, whole passes first and then the leading blocks of one more pass, the last of
 which is taken in part. A binary tree over the output shards splits the vector of quotas: each left child draws its share
-from its parent's blocks without replacement (multivariate hypergeometric), so every shard is an exact random
-sample and all quotas are used up. A shard takes disjoint ranges of each source's permuted list of blocks, and
-shuffles what it took locally.
+from its parent's blocks without replacement (multivariate hypergeometric, drawn exactly at every size), so every shard is
+an exact random sample and all quotas are used up. A shard takes disjoint ranges of each source's permuted list of
+blocks, and shuffles what it took locally.
 """
 
 from __future__ import annotations
@@ -62,21 +62,76 @@ def split(quotas, first: int, shards: int, seed: int):
 
 
 def draw(quotas, first: int, shards: int, half: int, seed: int):
+    """The left child's share of a node's quotas: a multivariate hypergeometric draw, source after source."""
     import numpy as np
 
-    quotas = np.asarray(quotas, dtype=np.int64)
-    total = int(quotas.sum())
     rng = np.random.default_rng([seed, first, shards])
-    # 'marginals' takes time in proportion to the sources, not to the blocks; its totals must stay below 1e9
-    if total < 1_000_000_000:
-        return rng.multivariate_hypergeometric(quotas, total * half // shards, method="marginals")
-    scaled = total * half // shards
-    out, rest = np.zeros_like(quotas), total
-    for i, q in enumerate(quotas):  # beyond that the binomial's normal limit, clipped to what is possible
-        mean, var = scaled * q / rest, scaled * (q / rest) * (1 - q / rest) * (rest - scaled) / max(rest - 1, 1)
-        out[i] = min(max(round(rng.normal(mean, math.sqrt(max(var, 0)))), max(0, scaled - (rest - q))), min(q, scaled))
-        scaled, rest = scaled - out[i], max(rest - q, 1)
-    return out
+    left = sum(int(q) for q in quotas)
+    wanted, out = left * half // shards, []
+    for q in map(int, quotas):
+        left -= q
+        out.append(hypergeometric(rng, q, left, wanted))
+        wanted -= out[-1]
+    return np.array(out, np.int64)
+
+
+def _stirling_rest(n: int) -> float:
+    """log(n!) less Stirling's formula."""
+    if n < 16:
+        return math.lgamma(n + 1) - (n + 0.5) * math.log(n) + n - 0.5 * math.log(2 * math.pi) if n else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / n / n) / n / n) / n / n) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x without cancellation where both are near."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, k = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            k += 2
+            if total + term / k == total:
+                return total
+            total += term / k
+    return x * math.log(x / mean) + mean - x
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """log P(Binomial(n, p) = x), q = 1 - p, to full precision whatever the size."""
+    if x == 0 or x == n:
+        return n * math.log(p if x else q) if n else 0.0
+    rest = _stirling_rest(n) - _stirling_rest(x) - _stirling_rest(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return rest + 0.5 * math.log(n / (2 * math.pi * x * (n - x)))
+
+
+def hypergeometric(rng, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement from good and bad are good: exact inversion at every size, from the mode outwards
+    by the recurrence of the probabilities, so the steps are about as many as the standard deviation."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    up = down = at = min(high, max(low, (n + 1) * (good + 1) // (good + bad + 2)))
+    p, q = n / (good + bad), (good + bad - n) / (good + bad)
+    over = under = math.exp(_log_binomial(at, good, p, q) + _log_binomial(n - at, bad, p, q) - _log_binomial(n, good + bad, p, q))
+    u = rng.random() - over
+    while u >= 0:
+        if up == high and down == low:
+            return at  # rounding left a rest of some 1e-13
+        if up < high:
+            over *= (good - up) * (n - up) / ((up + 1) * (bad - n + up + 1))
+            up += 1
+            u -= over
+            if u < 0:
+                return up
+        if down > low:
+            under *= down * (bad - n + down) / ((good - down + 1) * (n - down + 1))
+            down -= 1
+            u -= under
+            if u < 0:
+                return down
+        if over == 0 and under == 0:
+            return at
+    return at
 
 
 def _subtrees(batches, seed: int):
@@ -190,17 +245,31 @@ def mix(documents: DataFrame, keep: list[str], seed: int = 7, share: float = SHA
 
 
 def mixed_sizes(documents: DataFrame, seed: int = 7) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the shards that take the document."""
+    """doc_id, size, source_size, target, taken and the shards that take the document; edge cases as in ``mix``."""
     return mix(documents, ["doc_id"], seed).select("doc.doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: d["shard"]).alias("shards"))
 
 
-def mixed_documents(documents: DataFrame, seed: int = 7, whole: bool = False) -> DataFrame:
-    """The documents as the mix reads them: one row for each copy taken, with the columns they came with.
+def _row_keys() -> list[Column]:
+    """Two 64-bit keys that tell rows of different id, source or text apart, whatever is null."""
+    parts = [F.col(c) for c in ("doc_id", "source", "text")]
+    return [F.xxhash64(*parts).alias("rk1"), F.xxhash64(*parts[::-1], F.lit(1)).alias("rk2")]
+
+
+def mixed_documents(documents: DataFrame, seed: int = 7, whole: bool = True) -> DataFrame:
+    """The documents as the mix reads them: one row for each copy taken, with the columns they came with, shard by shard and in each shard
+    in the order of its own shuffle (as partitions are written).
 
-    A copy taken in part, one of a source at most, has its leading words, set apart by single spaces. With ``whole`` it is
-    taken whole and unchanged: a source is then above its target by less than one document, and none loses its last one.
+    A copy taken in part, one of a source at most, is taken whole and unchanged: a source is then above its target by less
+    than one document, and none loses its last one. Without ``whole`` such a copy has its leading words, set apart by
+    single spaces. Null and empty texts have no words and are never taken; rows equal in id, source and text are taken alike; an
+    empty table gives no rows. Texts move twice: to the draws of their block and to their shards.
     """
-    df = mix(documents, documents.columns, seed).select("doc", "size", F.explode("draws").alias("draw"))
+    keyed = documents.select("doc_id", "source", "text", *_row_keys())
+    draws = mix(keyed, ["rk1", "rk2"], seed).filter("size(draws) > 0").select("doc.rk1", "doc.rk2", "size", "draws")
+    draws = draws.groupBy("rk1", "rk2").agg(F.max("size").alias("size"), F.max("draws").alias("draws"))
+    texts = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), *_row_keys())
+    df = texts.join(written(draws), ["rk1", "rk2"]).select("doc", "size", F.explode("draws").alias("draw"))
+    df = df.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place")
     if whole:
         return df.select(*[F.col(f"doc.`{c}`").alias(c) for c in documents.columns])
     part = F.array_join(F.slice(words(F.col("doc.text")), 1, F.col("draw.words").cast("int")), " ")

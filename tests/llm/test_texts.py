@@ -198,11 +198,45 @@ def test_mixing(spark, rows):
         taken[s] += r.taken
     assert all(taken[s] == round(goal[s]) for s in order) and len(got) == len(rows)
     assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_sizes(df.repartition(7)).collect()))
-    copies = mixing.mixed_documents(df)
+    copies = mixing.mixed_documents(df, whole=False)
     assert copies.columns == df.columns and sum(len(WORD.findall(r.text)) for r in copies.collect()) == sum(taken.values())
     assert mixing.mixed_sizes(make(spark, [])).count() == 0 and mixing.mixed_documents(make(spark, [])).count() == 0
 
 
+def test_shards_are_hypergeometric_samples():
+    quotas, shards, seeds = [9, 14, 7], 3, 3000
+    total, leaf = sum(quotas), Counter(int(next(q for s, q in mixing.split(np.array(quotas), 0, shards, seed) if s == 0)[0]) for seed in range(seeds))
+    n = total * (shards // 2) // shards
+    chi = 0.0
+    for k in range(min(n, quotas[0]) + 1):
+        p = math.comb(quotas[0], k) * math.comb(total - quotas[0], n - k) / math.comb(total, n)
+        chi += (leaf[k] - seeds * p) ** 2 / max(seeds * p, 0.5)
+    assert chi < 30  # 9 degrees of freedom
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((0, 5, 3), (5, 0, 3), (1, 1, 1), (40, 60, 30), (3, 10**6, 10**5)):
+        xs = [mixing.hypergeometric(rng, good, bad, n) for _ in range(4000)]
+        mean = n * good / (good + bad)
+        assert abs(np.mean(xs) - mean) <= 5 * math.sqrt(mean * bad / (good + bad) / 4000 + 1e-9) and max(0, n - bad) <= min(xs) and max(xs) <= min(n, good)
+    # beyond 1e9, in which the same law holds: mean 3e11, deviation about 2.8e5
+    xs = np.array([mixing.hypergeometric(rng, 6 * 10**9, 14 * 10**9, 10**10) for _ in range(200)])
+    z = (xs - 3e9) / math.sqrt(1e10 * 0.3 * 0.7 * 0.5)
+    assert abs(z.mean()) < 0.35 and 0.8 < z.std() < 1.2
+
+
+def test_a_shard_is_read_in_its_own_order(spark, rows):
+    df = make(spark, [r for r in rows if r[0] is not None] * 1 + [(1000 + i, f"w{i} " * 60, "en", "z") for i in range(600)])
+    mixed = mixing.mix(df, ["doc_id"], 7).selectExpr("doc.doc_id as doc_id", "explode(draws) as d").selectExpr("doc_id", "d.shard as shard", "d.place as place").collect()
+    want = {}
+    for r in mixed:
+        want.setdefault(r.shard, []).append((r.place, r.doc_id))
+    got = [[r.doc_id for r in part] for part in mixing.mixed_documents(df).rdd.glom().collect()]
+    orders = {s: [d for _, d in sorted(v)] for s, v in want.items()}
+    flat = [d for part in got for d in part]
+    assert sorted(flat) == sorted(d for v in orders.values() for d in v)
+    assert all(any(v == part[i : i + len(v)] for part in got for i in range(len(part))) for v in orders.values())
+    assert any(v != sorted(v) for v in orders.values())
+
+
 def test_pipeline_mixes_whole_documents(spark):
     import corpus_pipeline
 
