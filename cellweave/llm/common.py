@@ -28,10 +28,12 @@ def words(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the folder that ``spark.checkpoint.dir`` names for the whole cluster.
 
-    Where the session names none (tests on one machine), a temporary folder stands in.
+    Where the session names none, a temporary folder stands in on one machine; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = "file://" + tempfile.mkdtemp(prefix="cellweave-")
@@ -125,7 +127,12 @@ class Files:
         return system.open_input_file(path)
 
 
-_memories: dict[str, list["Remembered"]] = {}
+_memories: dict[str, list[dict]] = {}
+
+
+def memories(owner: str) -> list[dict]:
+    """What an operator remembers in this worker process, for ``only``."""
+    return _memories.setdefault(owner, [])
 
 
 class Remembered(dict):
@@ -134,7 +141,7 @@ class Remembered(dict):
     def __init__(self, function, most: int, owner: str):
         super().__init__()
         self.function, self.most = function, most
-        _memories.setdefault(owner, []).append(self)
+        memories(owner).append(self)
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -145,7 +152,7 @@ class Remembered(dict):
 
 def only(owner: str) -> None:
     """Empties what other operators' memories hold in this worker process; Spark reuses processes from stage to stage."""
-    for other, memories in _memories.items():
+    for other, held in _memories.items():
         if other != owner:
-            for memory in memories:
+            for memory in held:
                 memory.clear()

@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, only, shipped, written
+from .common import BLANKS, Remembered, only, shipped, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Nodes and n-grams of a block, on average; a task holds two blocks.
@@ -231,14 +231,15 @@ def _classes(documents: DataFrame, n: int, threshold: float, recall: float):
     routes = routes.withColumn("yours", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
     routes = routes.select("key", "node", "mine", F.least("mine", "yours").alias("bi"), F.greatest("mine", "yours").alias("bj"))
     routes = routes.join(nodes.join(home, "node").select("node", "home", "copies", "bands", "first.rk1", "first.rk2"), "node")
-    texts = plain.select("rk1", "rk2", F.col("text").cast("binary").alias("text"))
+    # a row that is repeated as it stands comes once
+    texts = plain.select("rk1", "rk2", F.col("text").cast("binary").alias("text")).dropDuplicates(["rk1", "rk2"])
     routed = routes.join(texts, ["rk1", "rk2"]).select("key", "bi", "bj", "mine", "node", "home", "copies", "bands", "text")
     found = written(shipped(routed).groupBy("key", "bi", "bj").applyInPandas(lambda pdf: compare(pdf, n, exact), _FOUND))
 
     links = found.filter("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
     grouped = labels.join(nodes.select("node", "copies", "first"), "node").join(links, "node")
-    whole = grouped.groupBy("label").agg(F.min("first").alias("class_first"))
+    whole = written(grouped.groupBy("label").agg(F.min("first").alias("class_first")))  # written for the same reason: one class may be most rows
     grouped = grouped.join(whole, "label").select("node", "class_first", "links")
     full = nodes.select("node", "copies", "first").join(grouped, "node", "left")
     full = written(full.select("node", "first", F.coalesce("class_first", "first").alias("class_first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
@@ -263,13 +264,12 @@ def ngram_join(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOL
 
 def one_of_each(documents: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of ``documents`` with the least doc_id of each class (null ids last), columns as they came; rows
-    without words all stay."""
+    without words (null, empty or blank texts) all stay. An empty table gives no rows."""
     _, signed, nodes = _classes(documents, n, threshold, recall)
     stay = nodes.select("class_first.rk1", "class_first.rk2").distinct().union(signed.filter("node is null").select("rk1", "rk2").distinct())
     named = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = _row_keys(named).select("doc", "rk1", "rk2").join(stay, ["rk1", "rk2"], "left_semi")
-    from pyspark.sql.window import Window
-
-    bare = F.length(F.translate(F.coalesce(F.col("doc.text"), F.lit("")), " \t\n\x0b\f\r", "")) == 0
-    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("rk1", "rk2").orderBy(F.lit(1))))
-    return rows.filter((F.col("r") == 1) | bare).select("doc.*")
+    bare = F.length(F.translate(F.coalesce(F.col("doc.text"), F.lit("")), BLANKS, "")) == 0
+    # of rows with equal id and text one stays, chosen by the rest of its columns; repeats are reduced before they meet
+    once = rows.filter(~bare).groupBy("rk1", "rk2").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc"))
+    return once.select("doc.*").union(rows.filter(bare).select("doc.*"))

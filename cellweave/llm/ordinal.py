@@ -171,7 +171,9 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep_sh
     chosen = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     met = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text")  # ``sample`` rows at most
-    rows = shipped(met).mapInArrow(_sampled, "doc_id bigint, grade int, index binary, value binary").dropDuplicates(["doc_id"]).collect()
+    # of several texts with one id the one of least hash is fitted, wherever it stands
+    found = shipped(met).mapInArrow(_sampled, "doc_id bigint, grade int, index binary, value binary")
+    rows = found.groupBy("doc_id").agg(F.min_by(F.struct("grade", "index", "value"), F.struct(F.xxhash64("index", "value"), "index", "value")).alias("x")).select("doc_id", "x.*").collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([r["grade"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -226,14 +228,15 @@ def _graded(documents: DataFrame, labels: DataFrame, options: dict):
 
 def quality_classifier(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document row: doc_id, expected_grade (0 to levels - 1), tail_probability (of the selected grade or
-    better) and kept. Whole texts; a null or empty text is judged by its size alone. Repeated rows get equal results,
-    null doc_ids are kept. An empty table gives no rows; without labels of two grades every document is kept."""
+    better) and kept. Whole texts; a null or empty text is judged by its size alone. Repeated rows get equal results; where a
+    labelled id has several texts one is fitted, the same in any order of rows. Null doc_ids are judged and come back as null. An empty table gives no rows; without labels of two grades every document is kept."""
     df, score, cut = _graded(documents, labels, options)
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("_score"))
     return df.select("doc_id", "_score.expected_grade", "_score.tail_probability", (F.col("_score.tail_probability") >= cut).alias("kept"))
 
 
 def keep_selected(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``documents`` that the classifier keeps, with the columns they came with."""
+    """The rows of ``documents`` that the classifier keeps, with the columns they came with; nulls, empty texts, repeats,
+    empty tables and missing labels as in ``quality_classifier``."""
     df, score, cut = _graded(documents, labels, options)
     return df.filter(score["tail_probability"] >= cut)

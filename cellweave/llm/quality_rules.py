@@ -3,8 +3,8 @@
 Five signals are measured on each whole text. For each signal a grid of cutoffs is tried on the labelled
 holdout: of the n good documents of a stratum, k would be rejected. A cutoff is admissible when the exact
 binomial upper bound on its false-rejection rate is at most ``alpha / signals``, that is when
-P(Binomial(n, alpha / signals) <= k) <= delta / tests, Bonferroni over every (stratum, signal, cutoff) tried. The
-tightest admissible cutoff of each signal is used, so with probability 1 - delta no stratum loses more than
+P(Binomial(n, alpha / signals) <= k) <= delta / tests, Bonferroni over every (stratum, signal, cutoff) tried. A
+labelled document is one trial of its stratum, however often its row is repeated. The tightest admissible cutoff of each signal is used, so with probability 1 - delta no stratum loses more than
 ``alpha`` of its good documents, all signals together.
 """
 
@@ -19,8 +19,6 @@ SYMBOLS = "#*$%&|<>"
 #: The base rule.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 ALPHA, DELTA = 0.02, 0.05
-#: Strata of their own are at most this many, the most labelled ones; the rest share one, so the threshold table is small.
-MAX_STRATA = 64
 #: Cutoffs tried for each signal: a document is rejected when its signal is above the cutoff (all signals: more is worse).
 GRID = {
     "symbol_share": [0.005, 0.01, 0.02, 0.04, 0.08, 0.16],
@@ -87,10 +85,6 @@ def _ratios() -> dict[str, Column]:
     }
 
 
-def _base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-
-
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
     """P(Binomial(n, p) <= k), summed term by term in logarithms from the exact recurrence."""
     import math
@@ -112,16 +106,13 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 def thresholds(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """stratum and one cutoff column per signal (null: no cutoff is admissible, the signal rejects nothing).
 
-    ``holdout`` has stratum, good (boolean) and the signal columns. At most MAX_STRATA + 1 rows.
+    ``holdout`` has stratum, good (boolean) and the signal columns. A row for each stratum with good documents.
     """
     counts = [F.count(F.lit(1)).alias("n")]
     for s, cuts in GRID.items():
         counts += [F.count_if(F.col(s) > c).alias(f"{s}_{i}") for i, c in enumerate(cuts)]
     good = holdout.filter("good").groupBy("stratum").agg(*counts)
-    # the most labelled strata keep their own row; the others are summed into the row '*'
-    ranked = good.orderBy(F.col("n").desc(), "stratum").limit(MAX_STRATA).select("stratum", F.lit(True).alias("own"))
-    good = good.join(F.broadcast(ranked), "stratum", "left").withColumn("stratum", F.when(F.col("own"), F.col("stratum")).otherwise("*"))
-    good = written(good.groupBy("stratum").agg(*[F.sum(c).alias(c) for c in good.columns if c not in ("stratum", "own")]))
+    good = written(good)
     tests = max(1, good.count()) * sum(map(len, GRID.values()))
     best = [
         F.array_min(F.filter(F.array(*[F.when(binomial_tail(F.col(f"{s}_{i}"), F.col("n"), alpha / len(GRID)) <= delta / tests, F.lit(c)) for i, c in enumerate(cuts)]), lambda x: x.isNotNull())).alias(f"{s}_cut")
@@ -135,13 +126,13 @@ def _judged(documents: DataFrame, labels: DataFrame, keep: list[str], alpha: flo
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     df = df.withColumns(_ratios())
     marks = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") >= 1).alias("good"))
-    # the base rule rejects on its own account: cutoffs are set on what it leaves
+    # the base rule rejects on its own account: cutoffs are set on what it leaves; a repeated document is judged by its worst row
     holdout = df.filter(~F.col("base_failed") & F.col("stratum").isNotNull()).select(F.col("doc.doc_id").alias("doc_id"), "stratum", *GRID)
-    cuts = written(thresholds(holdout.join(marks, "doc_id"), alpha, delta))  # MAX_STRATA + 1 rows at most
-    own = F.broadcast(cuts.select("stratum", F.struct([c for c in cuts.columns if c != "stratum"]).alias("own")))
-    rest = F.broadcast(cuts.filter("stratum = '*'").select(F.col("stratum").alias("shared"), F.struct([c for c in cuts.columns if c != "stratum"]).alias("other")))
-    df = df.join(own, "stratum", "left").withColumn("shared", F.when(F.col("own").isNull(), "*")).join(rest, "shared", "left")
-    over = [F.coalesce(F.col(s) > F.coalesce(F.col(f"own.{s}_cut"), F.col(f"other.{s}_cut")), F.lit(False)) for s in GRID]
+    trials = holdout.join(marks, "doc_id").groupBy("doc_id", "stratum", "good").agg(*[F.max(g).alias(g) for g in GRID])
+    cuts = written(thresholds(trials, alpha, delta))
+    # no size is assumed of the strata: Spark broadcasts the table where it is small and splits hot strata where it is not
+    df = df.join(cuts, "stratum", "left")
+    over = [F.coalesce(F.col(s) > F.col(f"{s}_cut"), F.lit(False)) for s in GRID]
     return df.withColumn("kept", ~F.col("base_failed") & ~F.greatest(*over))
 
 
@@ -150,14 +141,15 @@ def quality_rules(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA,
 
     ``labels`` (doc_id, quality) is the labelled holdout; quality 1 is good, and of several labels of a document the
     highest counts. Labels with null doc_id or quality take no part. A null or empty text has no words and fails
-    the base rule. A null stratum, a stratum without labels and the strata beyond MAX_STRATA use the cutoffs
-    of the shared row '*'; where that has no labelled documents, only the base rule rejects. Repeated rows are judged
-    alike, each on its own. An empty table gives no rows; without labels only the base rule rejects.
+    the base rule. In a null stratum and a stratum without labelled good documents nothing is proven, so only the base rule
+    rejects. Repeated rows are judged alike, each on its own. An empty table gives no rows; without labels only
+    the base rule rejects.
     """
     df = _judged(documents, labels, ["doc_id"], alpha, delta, stratum)
     return df.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
 
 
 def keep_by_rules(documents: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, stratum: str = "lang") -> DataFrame:
-    """The rows of ``documents`` that the rules keep, with the columns they came with."""
+    """The rows of ``documents`` that the rules keep, with the columns they came with; nulls, empty texts, repeats and
+    empty tables as in ``quality_rules``."""
     return _judged(documents, labels, documents.columns, alpha, delta, stratum).filter("kept").select("doc.*")

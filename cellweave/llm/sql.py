@@ -32,9 +32,9 @@ s AS (SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_
 m AS (SELECT doc_id, max(quality) >= 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 f AS ({long}),
 v(signal, cut) AS (VALUES {grid}),
-k AS (SELECT stratum, signal, cut, count(*) AS n, count(*) FILTER (value > cut) AS k
-      FROM f JOIN m USING (doc_id) JOIN s USING (doc_id, stratum) JOIN v USING (signal) WHERE good AND NOT base_failed
-      GROUP BY stratum, signal, cut),
+o AS (SELECT doc_id, stratum, signal, max(value) AS value FROM f JOIN m USING (doc_id) JOIN (SELECT doc_id, stratum, base_failed FROM s) USING (doc_id, stratum)
+      WHERE good AND NOT base_failed GROUP BY doc_id, stratum, signal),
+k AS (SELECT stratum, signal, cut, count(*) AS n, count(*) FILTER (value > cut) AS k FROM o JOIN v USING (signal) GROUP BY stratum, signal, cut),
 a AS (SELECT stratum, signal, min(cut) AS cut FROM k
       WHERE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) <= {q.DELTA} / ((SELECT count(DISTINCT stratum) FROM k) * {each})
       GROUP BY stratum, signal),
@@ -44,7 +44,7 @@ FROM s JOIN x USING (doc_id)"""
 
 
 def op4() -> str:
-    link = u.LINK.replace("'", "''")
+    link, site = u.LINK.replace("'", "''"), lambda c: f"regexp_replace(regexp_replace({c}, '{u.USER}', ''), '{u.PORT}', '')"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in u.RULES)
     steps = ""
     for k in range(u.STEPS):
@@ -59,21 +59,22 @@ h AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'AB
 rules(v, rh, rp) AS (VALUES {rules}),
 m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v
       FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
-j AS (SELECT h.page_id, host, path, rule, v FROM h LEFT JOIN m USING (page_id)),
-seeds AS (SELECT host, (count(*) FILTER (v = 'allow')) / count(*) AS t, (count(*) FILTER (v = 'block')) / count(*) AS d FROM j WHERE host <> '' GROUP BY host),
-links0 AS (SELECT src, regexp_replace(translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ':[0-9]+$', '') AS dst
+j AS (SELECT h.page_id, host, {site("host")} AS site, path, rule, v FROM h LEFT JOIN m USING (page_id)),
+seeds AS (SELECT site AS host, (count(*) FILTER (v = 'allow')) / count(*) AS t, (count(*) FILTER (v = 'block')) / count(*) AS d FROM j WHERE site <> '' GROUP BY site),
+links0 AS (SELECT {site("src")} AS src, {site("translate(dst, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS dst
            FROM (SELECT host AS src, unnest(list_distinct(regexp_extract_all(html, '{link}', 1))) AS dst FROM h)),
 linked AS (SELECT src, dst, count(*)::DOUBLE AS w FROM links0 WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst),
-hosts AS (SELECT host AS src FROM h WHERE host <> '' UNION SELECT dst FROM linked),
-up AS (SELECT DISTINCT src, regexp_replace(src, '^[^.]*\.', '') AS dst FROM hosts WHERE src LIKE '%.%.%'),
+hosts AS (SELECT site AS host FROM j WHERE site <> '' UNION SELECT dst FROM linked),
+named AS (SELECT string_split(host, '.') AS n FROM hosts WHERE NOT regexp_matches(host, '{u.ADDRESS}')),
+up AS (SELECT DISTINCT array_to_string(n[i:], '.') AS src, array_to_string(n[i + 1:], '.') AS dst FROM (SELECT n, unnest(range(1, len(n) - 1)) AS i FROM named)),
 links AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM linked UNION ALL SELECT src, dst, 1.0 FROM up UNION ALL SELECT dst, src, 1.0 FROM up) GROUP BY src, dst),
 edges AS (SELECT 't' AS kind, src AS host, dst AS dest, w / sum(w) OVER (PARTITION BY src) AS w FROM links
           UNION ALL SELECT 'd', dst, src, w / sum(w) OVER (PARTITION BY dst) FROM links),
 start AS (SELECT 't' AS kind, host, t AS r FROM seeds WHERE t > 0 UNION ALL SELECT 'd', host, d FROM seeds WHERE d > 0),{steps}
 s AS (SELECT host, sum(CASE WHEN kind = 't' THEN r ELSE 0 END) AS t, sum(CASE WHEN kind = 'd' THEN r ELSE 0 END) AS d FROM r{u.STEPS - 1} GROUP BY host)
-SELECT page_id, host, path, rule,
+SELECT page_id, j.host, path, rule,
        coalesce(v, CASE WHEN coalesce(d, 0) > {u.THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) AND coalesce(d, 0) >= {u.LEAST} THEN 'block' ELSE 'allow' END) AS verdict
-FROM j LEFT JOIN s USING (host)"""
+FROM j LEFT JOIN s ON j.site = s.host"""
 
 
 def op9() -> str:

@@ -111,12 +111,12 @@ def _batch(pa, rows):
 def write_tokens(documents: DataFrame, root: str, path: str, end: int = 0) -> DataFrame:
     """Encodes every whole text (null: empty), appends ``end``, and writes shards below ``root`` in ascending doc_id order.
 
-    Returns the manifest (shard, n_docs, n_ids, n_bytes, start: ids of all shards before it). Null ids come first;
+    Empty texts have the end id alone; very long ones are encoded piece by piece, and a record is held at a time. Returns the manifest (shard, n_docs, n_ids, n_bytes, start: ids of all shards before it). Null ids come first;
     rows of equal doc_id follow each other, by text hash. Nothing is written for an empty table. A task that runs again
     writes the same bytes to the same names.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))  # a repeated id spans shards
     manifest = written(shipped(docs).mapInArrow(lambda batches: _write(batches, root, path, end), _MANIFEST)).filter("n_docs > 0")
     return manifest.withColumn("start", F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["start"])
 
@@ -129,6 +129,25 @@ def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
     return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _sequences(batches, root: str, seed: int):
+    import numpy as np
+    import pyarrow as pa
+
+    files = Files(root)
+    for batch in batches:
+        for shard, n_docs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            order = np.random.default_rng([seed, shard]).permutation(n_docs).tolist()
+            for k, (doc_id, _, ids) in enumerate(read_shard(files, shard, order)):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], "int32"), pa.array([k], "int64"), pa.array([doc_id], "int64"), pa.array([ids.astype("i8")], pa.list_(pa.int64()))], ["shard", "place", "doc_id", "ids"])
+
+
+def shuffled_tokens(manifest: DataFrame, root: str, seed: int) -> DataFrame:
+    """shard, place, doc_id and ids of every record, each shard in an order drawn from the seed: the offset index finds records
+    in any order, so a shard is neither sorted nor held. Shards come in an order drawn by hash; reruns agree."""
+    shards = manifest.select("shard", "n_docs").repartition(max(1, min(manifest.count(), 20_000)), F.xxhash64("shard", F.lit(seed)))
+    return shipped(shards).mapInArrow(lambda batches: _sequences(batches, root, seed), "shard int, place bigint, doc_id bigint, ids array<bigint>")
+
+
 def token_files(documents: DataFrame, path: str | None = None, end: int = 0) -> DataFrame:
     """Writes the documents as token records to the shared folder and returns what the files hold, a row for each document."""
     root = shared_dir(documents.sparkSession)

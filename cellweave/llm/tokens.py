@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+from .common import memories, only
+
 #: Runs of blanks that do not split into single ones.
 _UNSAFE = re.compile(r"\s{3}|\s\s\Z")
 _RUNS = ("\n\n", "  ", " \n", "\n ")
@@ -48,6 +50,7 @@ class Encoder:
         self._leads = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
         self._leads[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self._ids_of, self._spans_of = _Memory(), _Memory()
+        memories("tokens").extend((self._ids_of, self._spans_of))
 
     def _batch_ids(self, stretches: list[str]) -> list[bytes]:
         """Stretches that are a space and then none are encoded as one text; ids that begin with a space part them."""
@@ -144,6 +147,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and file."""
+    only("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

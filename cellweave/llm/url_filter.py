@@ -3,7 +3,7 @@
 Built-in functions only. Personalised PageRank runs from trusted seeds along the links, and from blocked seeds
 against them (who links to a blocked host is suspect), for a fixed number of steps; a host is blocked where its distrust
 is more than a set part of both. Seeds are hosts by the share of their pages that an allow or a block rule decides. Links
-are those of the pages' absolute hrefs to other hosts, and those between a host and the domain above it.
+are those of the pages' absolute hrefs to other hosts, and those between a host and the domains above it.
 """
 
 from __future__ import annotations
@@ -20,8 +20,12 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: Rules are a list in the plan; longer ones are refused.
 MOST_RULES = 10_000
 DAMPING, STEPS, THRESHOLD, LEAST = 0.85, 8, 0.5, 0.05
-#: Java and RE2 read it alike: the host of an absolute or scheme-relative href.
-LINK = r"""href\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+#: Java and RE2 read them alike: the host of an absolute or scheme-relative href; a user and a port beside a host; an address
+#: that is no name (numbers, or in brackets).
+LINK = r"""[Hh][Rr][Ee][Ff]\s*=\s*["']?(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
+
+
+USER, PORT, ADDRESS = r"^.*@", r":[0-9]*$", r"^([0-9.]*|\[.*)$"
 
 
 def _lower(text: Column) -> Column:
@@ -49,18 +53,29 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
+def site(host: Column) -> Column:
+    """The host that the graph knows: without user and port, which the pages' hosts keep."""
+    return F.regexp_replace(F.regexp_replace(host, USER, ""), PORT, "")
+
+
 def host_links(pages: DataFrame) -> DataFrame:
-    """src, dst, w: links between different hosts by number of hrefs, and 1 each way between a host and its parent domain."""
+    """src, dst, w: links between different hosts by number of hrefs, and 1 each way between a host and the domain above
+    it, and between that and the one above it in turn, up to two labels. Relative hrefs stay on their host, so
+    they are no links; a base element's href is one like any other. Addresses have no domain above them."""
     host, _ = host_and_path(F.col("url"))
     linked = (
         pages.select(host.alias("src"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(LINK), 1))).alias("dst"))
-        .select("src", F.regexp_replace(_lower(F.col("dst")), r":[0-9]+$", "").alias("dst"))
+        .select(site(F.col("src")).alias("src"), site(_lower(F.col("dst"))).alias("dst"))
         .filter("src != '' and dst != '' and src != dst")
         .groupBy("src", "dst")
         .agg(F.count(F.lit(1)).cast("double").alias("w"))
     )
-    hosts = pages.select(host.alias("src")).filter("src != ''").groupBy("src").agg(F.count(F.lit(1)).alias("n")).select("src").union(linked.select("dst"))
-    up = hosts.filter("src like '%.%.%'").select("src", F.regexp_replace("src", r"^[^.]*\.", "").alias("dst")).distinct()
+    linked = written(linked)  # the pages' html is read once
+    hosts = pages.select(site(host).alias("host")).filter("host != ''").distinct().union(linked.select("dst")).distinct()
+    names = hosts.filter(~F.col("host").rlike(ADDRESS)).select(F.split("host", r"\.").alias("n"))
+    level = names.filter("size(n) > 2").select("n", F.explode(F.sequence(F.lit(1), F.size("n") - 2)).alias("i"))
+    join = lambda at: F.array_join(F.slice("n", at, F.size("n")), ".")
+    up = level.select(join(F.col("i")).alias("src"), join(F.col("i") + 1).alias("dst")).distinct()
     return linked.union(up.select("src", "dst", F.lit(1.0))).union(up.select("dst", "src", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
@@ -86,14 +101,14 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, leas
     """One row per page: page_id, host, path, rule (null: none fits), verdict, and its host's trust and distrust.
 
     Null urls and urls without '://' have empty host and path; no rule fits them and the graph does not hold them: they
-    are allowed. So are hosts that no seed reaches. Null html has no links. Of rules that fit the longest wins; equal
+    are allowed. So are hosts that no seed reaches. In the graph hosts stand without user and port. Null html has no links. Of rules that fit the longest wins; equal
     lengths go to the greater text. Repeated pages each count. An empty table gives no rows.
     """
     host, path = host_and_path(F.col("url"))
-    judged = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
+    judged = pages.select("page_id", host.alias("host"), site(host).alias("site"), path.alias("path")).withColumn("m", matched_rule(F.col("host"), F.col("path"), rules))
     share = lambda v: F.count_if(F.col("m.verdict") == v) / F.count(F.lit(1))
-    seeds = judged.filter("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
+    seeds = judged.filter("site != ''").groupBy(F.col("site").alias("host")).agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = written(propagated(written(host_links(pages)), seeds))  # its join with the pages can be split at a hot host
     bad = (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))) & (F.col("distrust") >= least)
     verdict = F.coalesce(F.col("m.verdict"), F.when(bad, "block").otherwise("allow"))
-    return judged.join(scores, "host", "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return judged.join(scores.withColumnRenamed("host", "site"), "site", "left").select("page_id", "host", "path", F.col("m.rule").alias("rule"), verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -2,7 +2,8 @@
 
 Captures are sorted by reversed-host URL key. Each range of keys gives an archive file (one gzip member per record), an index
 file (lines ``key json``, BLOCK_LINES to a gzip block) and a sparse directory (a line ``key offset length`` for each
-block). A lookup binary-searches the directory, reads one block by range, and reads records by offset and length.
+block). A lookup finds the shards whose range of keys may hold a key, binary-searches their directories, reads blocks by
+range, binary-searches these, and reads records by offset and length.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import bisect
 import gzip
 import hashlib
 import json
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ from .url_filter import host_and_path
 #: Fixed value: payloads below this many bytes are never deduplicated.
 LEAST = 1000
 BLOCK_LINES, LEVEL = 512, 6
+#: Characters of a key that ranges of shards are told apart by, and shards that one lookup goes over at most.
+KEY_CHARS, MOST_SHARDS = 256, 1_000_000
 DATE = "1970-01-01T00:00:00Z"
 _MANIFEST = "shard int, first_key string, last_key string, n bigint"
 _READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
@@ -89,7 +93,10 @@ def _write(batches, root: str):
                     continue
                 target = marked[1] if marked and marked[0] == (key, page_id, digest) else None
                 member = gzip.compress(_record(page_id, url or "", html or b"", digest, target), LEVEL, mtime=0)
-                lines.append(f"{json.dumps(key)} " + json.dumps({"page_id": page_id, "offset": seen["at"], "length": len(member)}))
+                place = {"page_id": page_id, "offset": seen["at"], "length": len(member)}
+                if url and ("\r" in url or "\n" in url):
+                    place["url"] = url  # a record's header cannot hold it as it is
+                lines.append(f"{json.dumps(key)} " + json.dumps(place))
                 seen["first"] = key if seen["n"] == 0 else seen["first"]
                 seen["last"], seen["n"], seen["at"] = key, seen["n"] + 1, seen["at"] + len(member)
                 if len(lines) == BLOCK_LINES:
@@ -113,6 +120,7 @@ class Shard:
         self.keys = [json.loads(k) for k, _, _ in rows]
         self.places = [(int(a), int(n)) for _, a, n in rows]
         self.index, self.archive = files.open(f"index-{shard:08d}.gz"), files.open(f"archive-{shard:08d}.warc.gz")
+        self.at, self.lines = -1, []
 
     def block(self, k: int) -> list[tuple[str, dict]]:
         at, length = self.places[k]
@@ -122,14 +130,17 @@ class Shard:
 
     def record(self, place: dict) -> dict:
         self.archive.seek(place["offset"])
-        return parse(gzip.decompress(self.archive.read(place["length"])))
+        fields = parse(gzip.decompress(self.archive.read(place["length"])))
+        return fields | {"url": place.get("url", fields["url"])}
 
     def find(self, key: str):
-        """Yields the records of one key, from the block in which it may start on."""
+        """Yields the records of one key, from the block in which it may start on; the block read last is kept."""
         for k in range(max(0, bisect.bisect_left(self.keys, key) - 1), len(self.keys)):
             if self.keys[k] > key:
                 return
-            block = self.block(k)
+            if k != self.at:
+                self.at, self.lines = k, self.block(k)
+            block = self.lines
             at = bisect.bisect_left(block, key, key=lambda line: line[0])
             while at < len(block) and block[at][0] == key:
                 yield self.record(block[at][1])
@@ -140,19 +151,47 @@ class Shard:
         self.archive.close()
 
 
-def _read(batches, root: str):
+def _shards_of(batches, ranges):
+    """For each key the shards whose range may hold it: (shard, key), by binary search in the sorted ranges."""
+    import pyarrow as pa
+
+    shards, firsts, lasts = ranges.value
+    # shards may share a border key, so the greatest last key so far is what a search can go by
+    most = list(accumulate(lasts, max))
+    for batch in batches:
+        found: tuple[list, list] = ([], [])
+        for key in batch.column(0).to_pylist():
+            short = key[:KEY_CHARS]
+            for i in range(bisect.bisect_left(most, short), bisect.bisect_right(firsts, short)):
+                if lasts[i] >= short:
+                    found[0].append(shards[i])
+                    found[1].append(key)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.string())], ["shard", "key"])
+
+
+def _find(batches, root: str):
+    """Rows come sorted by shard and key; a record's payload is dropped once its digest is known to fit."""
     import pyarrow as pa
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    files = Files(root)
+    files, shard, number, rows = Files(root), None, None, []
+    flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
     for batch in batches:
-        for number in batch.column(0).to_pylist():
-            shard = Shard(files, number)
-            for k in range(len(shard.keys)):
-                rows = [shard.record(place) for _, place in shard.block(k)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds)], names)
-            shard.close()
+        for this, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if this != number:
+                if shard is not None:
+                    shard.close()
+                number, shard = this, Shard(files, this)
+            for record in shard.find(key):
+                rows.append(tuple(record[n] for n in names))
+                if len(rows) == 512:
+                    yield flush()
+                    rows = []
+    if rows:
+        yield flush()
+    if shard is not None:
+        shard.close()
 
 
 def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame:
@@ -160,7 +199,8 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame
 
     Of records with equal payloads of ``least`` bytes or more the one with the largest page_id is a response, the others
     are revisits that name it. Only that choice is made by digest, on rows without payloads; each payload moves once, to
-    its range of keys. Groups of equal payloads are reduced before they meet.
+    its range of keys. Groups of equal payloads are reduced before they meet. Null html and urls are empty ones; repeated
+    rows are records each; an empty table gives an empty manifest.
     """
     rows = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id"), F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"), F.lit(None).cast("long").alias("refers_to"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("html"), F.lit(1).alias("marker"))
     slim = rows.filter(F.octet_length("html") >= least).select("key", "page_id", "digest")
@@ -171,18 +211,30 @@ def write_archives(pages: DataFrame, root: str, least: int = LEAST) -> DataFrame
     return written(shipped(dealt).mapInArrow(lambda batches: _write(batches, root), _MANIFEST)).filter("n > 0")
 
 
-def read_archives(manifest: DataFrame, root: str) -> DataFrame:
-    """A row for each record, found through the index: directory, block, range read."""
-    shards = manifest.select("shard").repartition(max(1, min(manifest.count(), 20_000)))
-    return shipped(shards).mapInArrow(lambda batches: _read(batches, root), _READ)
+def lookup(manifest: DataFrame, root: str, urls: DataFrame) -> DataFrame:
+    """The captures of each different url key of ``urls`` (column ``url``): a row for each record. Null urls have the empty key; keys
+    without a capture give none. Keys go to the shards whose range may hold them, in the order of the index, and a
+    very common key's captures are found in all the shards that they span."""
+    rows = manifest.select("shard", F.substring("first_key", 1, KEY_CHARS).alias("a"), F.substring("last_key", 1, KEY_CHARS).alias("b")).limit(MOST_SHARDS + 1).collect()
+    if len(rows) > MOST_SHARDS:
+        raise ValueError(f"more than {MOST_SHARDS} shards")
+    rows.sort(key=lambda r: (r["a"], r["shard"]))
+    # one number and two short keys for each shard
+    ranges = manifest.sparkSession.sparkContext.broadcast(tuple([r[i] for r in rows] for i in range(3)))
+    keys = shipped(urls.select(url_key(F.col("url")).alias("key")).distinct())
+    met = keys.mapInArrow(lambda batches: _shards_of(batches, ranges), "shard int, key string")
+    met = met.repartition(max(1, min(len(rows), 20_000)), "shard").sortWithinPartitions("shard", "key")  # a number given is not coalesced
+    return met.mapInArrow(lambda batches: _find(batches, root), _READ)
 
 
 def warc(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to and url of each page, read back from archives.
+    """page_id, payload_bytes, payload_digest (hex SHA-1), record_type, refers_to and url of each page, read back from archives
+    by looking up the pages' urls.
 
-    Null html is an empty payload and a null url an empty one. A null page_id is archived without a number; if its
-    payload recurs it is a revisit of the largest page_id, and a response where no row of the group has one. Rows that
-    repeat a group's largest page_id are responses each. An empty table gives no rows.
+    Null html is an empty payload and a null url an empty one; other urls come back as they were. A null page_id is
+    archived without a number; if its payload recurs it is a revisit of the largest page_id, and a response where no row
+    of the group has one. Rows that repeat a group's largest page_id are responses each. A record holds a whole page
+    however long. An empty table gives no rows.
     """
     root = shared_dir(pages.sparkSession)
-    return read_archives(write_archives(pages, root), root)
+    return lookup(write_archives(pages, root), root, pages)

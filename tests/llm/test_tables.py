@@ -60,9 +60,43 @@ def test_propagation(spark):
             assert got[h][k] == pytest.approx(v, abs=1e-12)
 
 
+def test_links_by_name_and_up_the_chain_of_domains(spark):
+    html = '<A HREF="HTTP://User@Other.Net:8080/x"> <a Href=\'//10.0.0.7/y\'> <a href=/relative> <base href="https://c.d.e.f.org/">'
+    pages = [(1, "http://a.b.c.com:8080/p", html), (2, "http://a.b.c.com/p", html.lower()), (3, "http://10.0.0.7:81/q", None), (4, "http://[::1]:80/", None), (5, "http://b.c.com./", None)]
+    got = {(r.src, r.dst): r.w for r in url_filter.host_links(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    chain = [("a.b.c.com", "b.c.com"), ("b.c.com", "c.com"), ("c.d.e.f.org", "d.e.f.org"), ("d.e.f.org", "e.f.org"), ("e.f.org", "f.org"), ("b.c.com.", "c.com."), ("c.com.", "com.")]
+    want = {("a.b.c.com", h): 2.0 for h in ("other.net", "10.0.0.7", "c.d.e.f.org")} | {p: 1.0 for a, b in chain for p in ((a, b), (b, a))}
+    assert got == want
+
+
+def test_a_seed_far_off_reaches_a_host(spark):
+    """A port is no other host to the graph, and distrust travels up and down the chain of domains."""
+    pages = [(k, f"http://bad.example.net/de/8{k}", None) for k in range(6)] + [(10, "http://x.y.example.net:8080/", None), (11, "http://example.net/", None)]
+    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[10].host == "x.y.example.net:8080" and got[10].distrust > 0 and got[11].distrust > got[10].distrust and got[0].rule == "example.net/de/8"
+
+
 # ---- op 8
 
 
+def test_archives_keep_urls_and_long_pages(spark):
+    rnd = random.Random(9)
+    pages = [(1, "http://a.com/x\r\ny", "p"), (2, "  http://a.com/ %0D\n", "q"), (3, "http://a.com/" + "z" * 5000, "é" * 3_000_000), (4, None, "r"), (5, "", "s"), (6, "\x00?", "t")] + [(10 + i, "http://hot.com/", f"capture {rnd.random()}" * 40) for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r for r in warc.warc(df).collect()}
+    assert len(got) == len(pages) and all(got[i].url == (u or "") and got[i].payload_bytes == len(h.encode()) for i, u, h in pages)
+
+
+def test_lookup_of_other_urls(spark):
+    pages = [(i, f"http://h{i % 9}.example.com/{i % 300}", f"page {i}") for i in range(900)]
+    root = common.shared_dir(spark)
+    manifest = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), root)
+    asked = ["http://h3.example.com/3", "http://h3.example.com/3", "HTTP://H0.example.com/0", "http://none.example.com/", None, "http://h8.example.com/299"]
+    got = warc.lookup(manifest, root, spark.createDataFrame([(u,) for u in asked], "url string"))
+    assert sorted(r.page_id for r in got.collect()) == sorted(i for i, u, _ in pages if u.lower() in {a.lower() for a in asked if a})
+    assert warc.lookup(manifest.limit(0), root, spark.createDataFrame([("x",)], "url string")).count() == 0
+
+
 def test_warc(spark, tmp_path):
     big, other = "é" * 600, "x" * 1000
     pages = [(1, "http://b.com/1", big), (2, "http://a.com/1?q=1#f", big), (3, None, big), (4, "http://a.com/2", other), (5, "http://a.com/2", "x" * 999), (6, "http://c.org", "x" * 999), (7, "bad url\r\n", None), (8, "http://a.com/2", ""), (9, "http://a.com/2", "\x00\r\n\r\n"), (None, "http://a.com/2", other), (4, "http://a.com/2", other)]
@@ -174,9 +208,38 @@ def test_query_and_its_sql(spark, name):
     assert sorted(map(str, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(map(str, want.fetchall()))
 
 
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "none"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 # ---- pipeline
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, null texts and ids, and columns with names that the stages use."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.limit(20).selectExpr("doc_id", "if(doc_id % 3 = 0, null, text) as text", "if(doc_id % 4 = 0, null, lang) as lang", "if(doc_id % 5 = 0, null, source) as source", "n_chars")
+    odd = odd.union(odd.selectExpr("cast(null as bigint)", "''", "lang", "source", "n_chars")).union(odd.limit(3)).selectExpr("*", "1 as key", "2 as doc", "3 as size", "4 as node", "5 as stratum", "6 as rk1", "7 as draw", "8 as kept")
+    for table in (odd, odd.limit(0)):
+        now = table
+        for k, (name, stage) in enumerate(p.STAGES):
+            now = common.written(stage(spark, now, sf))
+            if k < len(p.STAGES) - 1:
+                assert now.columns == odd.columns, name
+    assert now.count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -75,7 +75,7 @@ def test_quality_rules_counts(spark, rows):
 
 
 def test_quality_rules_bound(spark):
-    """Cutoffs are admissible exactly where the binomial tail is, per stratum; strata without labels use the shared row."""
+    """Cutoffs are admissible exactly where the binomial tail is, per stratum."""
     from pyspark.sql import functions as F
 
     tail = lambda k, n, p: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
@@ -89,6 +89,46 @@ def test_quality_rules_bound(spark):
     assert cuts["fr"].symbol_share_cut is None  # one document proves nothing
 
 
+def test_quality_rules_of_many_strata(spark):
+    """Each of 90 strata has cutoffs of its own; a repeated labelled document is one trial; null and unlabelled strata lose none."""
+    rnd = random.Random(21)
+    texts, labels = [], []
+    for i in range(3000):
+        stratum = None if i % 97 == 0 else f"s{i % 90}" if i % 90 < 80 else f"unlabelled{i % 90}"
+        bad = rnd.random() < 0.1
+        symbols = "#" * (90 if bad else rnd.choice([0, 0, 0, 3, 9]))
+        texts.append((i, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) + " " + symbols, stratum, "a"))
+        if i % 90 < 80:
+            labels.append((i, int(not bad), 0))
+    texts += [texts[5]] * 400  # as often as it comes, it is one document
+    df, marks = make(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    alpha, delta = 2.0, 0.5
+    got = quality_rules.quality_rules(df, marks, alpha, delta).collect()
+    good, shares = {i for i, q, _ in labels if q}, {}
+    for i, t, s, _ in texts:
+        n, chars, symbols, _, _ = base(t)
+        shares[i] = (s, symbols / chars, n)
+    by = {}
+    for i, (s, share, _) in shares.items():
+        if s is not None and i in good:
+            by.setdefault(s, []).append(share)
+    tests, each = len(by) * sum(map(len, quality_rules.GRID.values())), alpha / len(quality_rules.GRID)
+    cut = {}
+    for s, found in by.items():
+        for c in quality_rules.GRID["symbol_share"][::-1]:
+            k, n = sum(x > c for x in found), len(found)
+            if sum(math.comb(n, j) * each**j * (1 - each) ** (n - j) for j in range(k + 1)) <= delta / tests:
+                cut[s] = c
+    assert len(by) == 80 and 40 < len(cut)
+    for r in got:
+        s, share, _ = shares[r.doc_id]
+        if s not in by:
+            assert r.kept
+        elif s in cut and share > cut[s]:
+            assert not r.kept
+    assert any(not r.kept for r in got)
+
+
 # ---- op 2 and 10
 
 
@@ -109,6 +149,24 @@ def test_token_files(spark, rows):
     assert token_files.token_files(make(spark, [])).count() == 0
 
 
+def test_shuffled_reads_and_hot_ids(spark, rows):
+    from cellweave.llm import common
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or tables this small end in one task
+    hot = [(7, f"text {i} of one id", "en", "a") for i in range(400)] + [(None, f"no id {i}", "en", "a") for i in range(300)]
+    df, root = make(spark, rows + hot), common.shared_dir(spark)
+    manifest = token_files.write_tokens(df, root, tokens.default_path())
+    found = token_files.shuffled_tokens(manifest, root, 3).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in token_files.shuffled_tokens(manifest, root, 3).collect()]
+    assert sorted((str(r.doc_id), len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in found) == sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(manifest, root).collect())
+    by_shard = {}
+    for r in found:
+        by_shard.setdefault(r.shard, []).append((r.place, -1 if r.doc_id is None else r.doc_id))
+    assert all([p for p, _ in v] == list(range(len(v))) for v in by_shard.values()) and any([d for _, d in v] != sorted(d for _, d in v) for v in by_shard.values())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(any(r.doc_id == 7 for r in found if r.shard == s) for s in by_shard) > 1  # one id's rows are not all in one task
+
+
 def test_records_are_checked(tmp_path):
     record = token_files.frame(b"payload")
     (tmp_path / "x").write_bytes(record)
@@ -332,6 +390,26 @@ def test_ngram_join(spark):
     assert ngram_join.ngram_join(make(spark, [])).count() == 0 and ngram_join.one_of_each(make(spark, [])).count() == 0
 
 
+def test_ngram_join_finds_every_pair_of_the_documents(spark):
+    """Whole table against brute force, at the recall of production."""
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(make(spark, docs)).collect())
+    want = brute(docs)
+    assert got == want and sum(n for *_, n in want.elements()) > 0
+
+
+def test_ngram_join_of_repeats_and_very_long_texts(spark):
+    rnd = random.Random(31)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words), "en", "a"), (2, near(rnd, words, 40), "en", "a"), (3, " ".join(words[:30_000]), "en", "a")]
+    rows += [(4, "one text that is repeated as it stands with its id", "en", "a")] * 2000 + [(None, "another that has no id at all", "en", "b")] * 500
+    df = make(spark, rows)
+    got = {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.ngram_join(df).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 0), (4, 4, 1999), (None, None, 499)}
+    kept = ngram_join.one_of_each(df).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
+
+
 def test_bands():
     for threshold, recall in ((0.8, 0.999), (0.5, 0.95), (0.9, 0.99)):
         bands, rows = ngram_join.bands_and_rows(threshold, recall)
@@ -394,6 +472,38 @@ def test_features_met_by_chance_have_no_evidence():
     assert np.flatnonzero(got).tolist() == [2]
 
 
+def test_ordinal_fit_is_the_likelihood_s_minimum():
+    """Against a plain fit: dense features, gradients by differences, many small steps."""
+    rnd = np.random.default_rng(14)
+    dense = rnd.normal(size=(120, 3))
+    y = np.clip(np.round(dense[:, 0] - 0.5 * dense[:, 1] + rnd.logistic(size=120) * 0.7 + 1), 0, 2).astype(int)
+    ridge = 0.05
+
+    def loss(theta):
+        cuts = [-np.inf, theta[3], theta[3] + np.exp(theta[4]), np.inf]
+        up, low = (1 / (1 + np.exp(-(np.array(cuts)[y + k] - dense @ theta[:3]))) for k in (1, 0))
+        return -np.mean(np.log(up - low)) + ridge / 2 * np.sum(theta[:3] ** 2)
+
+    theta = np.array([0.0, 0, 0, -1, 0])
+    for _ in range(3000):
+        step = np.array([(loss(theta + e) - loss(theta - e)) / 2e-5 for e in np.eye(5) * 1e-5])
+        theta -= 0.5 * step
+    model = ordinal.OrdinalModel.fit([(np.array([4, 5, 6]), v) for v in dense], y, 3, steps=3000, rate=0.02, ridge=ridge)
+    assert model.weights[4:7] == pytest.approx(theta[:3], abs=5e-3)
+    assert model.thresholds == pytest.approx([theta[3], theta[3] + math.exp(theta[4])], abs=5e-3)
+
+
+def test_classifier_does_not_depend_on_the_order_of_rows(spark):
+    rnd = random.Random(41)
+    rows = [(i % 90, " ".join(rnd.choice(["good", "fine", "bad", "ugly", "plain"]) if i % 3 else "bad ugly" for _ in range(30)) + f" {i}", "en", "a") for i in range(360)]  # four texts of an id
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(90)], "doc_id long, quality int, toxic int")
+    found = []
+    for order, parts in ((rows, 1), (rows[::-1], 3), (sorted(rows, key=str), 7)):
+        got = ordinal.quality_classifier(make(spark, order).repartition(parts), labels).collect()
+        found.append(sorted((r.doc_id, r.expected_grade, r.tail_probability, r.kept) for r in got))
+    assert found[0] == found[1] == found[2]
+
+
 def test_classifier_edges(spark, rows):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(50)] + [(None, 1, 0), (3, None, 1)], "doc_id long, quality int, toxic int")
     df = make(spark, rows, True)
