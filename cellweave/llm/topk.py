@@ -374,13 +374,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     counts = {r["kind"]: r["n"] for r in blocks.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     groups = max(1, math.ceil(counts.get("q", 0) / GROUP))
     slices = max(1, min(counts.get("x", 0), math.ceil(TILES / groups)))
+    # (by a number of partitions, which is not coalesced: rows are few and slim, but each asks for much work)
     # names and summaries alone are dealt to the tiles: query blocks of a group to all slices, summaries of a slice to all groups
     dealt = lambda n, salt: F.pmod(F.xxhash64("block", F.lit(salt)), F.lit(n))
     all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     asked = blocks.filter("kind = 'q'").withColumn("group", dealt(groups, 1)).withColumn("slice", all_of(slices))
     met = blocks.filter("kind = 'x'").withColumn("group", all_of(groups)).withColumn("slice", dealt(slices, 2))
     tiles = asked.unionByName(met).withColumn("tile", F.concat_ws("/", "dims", "group", "slice"))
-    tiles = tiles.select("tile", *[c.split()[0] for c in _BLOCKS.split(", ")]).repartition("tile").sortWithinPartitions("tile", "kind", "block")
+    tiles = tiles.select("tile", *[c.split()[0] for c in _BLOCKS.split(", ")]).repartition(min(groups * slices, 20_000), "tile").sortWithinPartitions("tile", "kind", "block")
     best = shipped(tiles).mapInArrow(lambda batches: _search(batches, root, model, k), _BEST)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
