@@ -114,11 +114,10 @@ def thresholds(holdout: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -
     good = holdout.filter("good").groupBy("stratum").agg(*counts)
     good = written(good)
     tests = max(1, good.count()) * sum(map(len, GRID.values()))
-    best = [
-        F.array_min(F.filter(F.array(*[F.when(binomial_tail(F.col(f"{s}_{i}"), F.col("n"), alpha / len(GRID)) <= delta / tests, F.lit(c)) for i, c in enumerate(cuts)]), lambda x: x.isNotNull())).alias(f"{s}_cut")
-        for s, cuts in GRID.items()
-    ]
-    return good.select("stratum", *best)
+    tried = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(c).alias("cut"), F.col(f"{s}_{i}").alias("k")) for s, cuts in GRID.items() for i, c in enumerate(cuts)])
+    tail = binomial_tail(F.col("t.k"), F.col("n"), alpha / len(GRID))
+    long = good.select("stratum", "n", F.explode(tried).alias("t")).select("stratum", "t.signal", F.when(tail <= delta / tests, F.col("t.cut")).alias("cut"))
+    return long.groupBy("stratum").agg(*[F.min(F.when(F.col("signal") == s, F.col("cut"))).alias(f"{s}_cut") for s in GRID])
 
 
 def _judged(documents: DataFrame, labels: DataFrame, keep: list[str], alpha: float, delta: float, stratum: str) -> DataFrame:
