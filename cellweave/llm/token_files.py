@@ -20,7 +20,7 @@ from .tokens import default_path, encoder
 
 _HEAD, _INDEX, _NULL = struct.Struct("<QI"), struct.Struct("<QQ"), -(1 << 63)
 _MANIFEST = "shard int, n_docs bigint, n_ids bigint, n_bytes bigint"
-_RECORDS = "shard int, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint"
+_RECORDS = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def masked(data: bytes) -> int:
@@ -92,10 +92,10 @@ def _read(batches, root: str):
 
     files = Files(root)
     for batch in batches:
-        for shard in batch.column(0).to_pylist():
+        for shard, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rows: list[tuple] = []
             for doc_id, before, ids in read_shard(files, shard):
-                rows.append((shard, doc_id, before, len(ids), zlib.crc32(ids.tobytes())))
+                rows.append((doc_id, start + before, len(ids), zlib.crc32(ids.tobytes())))
                 if len(rows) == 10_000:
                     yield _batch(pa, rows)
                     rows = []
@@ -104,8 +104,7 @@ def _read(batches, root: str):
 
 
 def _batch(pa, rows):
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["shard", "doc_id", "local", "n_tokens", "ids_crc32"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(documents: DataFrame, root: str, path: str, end: int = 0) -> DataFrame:
@@ -123,10 +122,8 @@ def write_tokens(documents: DataFrame, root: str, path: str, end: int = 0) -> Da
 
 def read_tokens(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens (with the end id) and ids_crc32, read from the files."""
-    shards = manifest.select("shard").repartition(max(1, min(manifest.count(), 20_000)))  # a number given is not coalesced
-    rows = shipped(shards).mapInArrow(lambda batches: _read(batches, root), _RECORDS)
-    starts = manifest.select("shard", F.col("start").alias("base"))
-    return rows.join(starts, "shard").select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    shards = manifest.select("shard", "start").repartition(max(1, min(manifest.count(), 20_000)))  # a number given is not coalesced
+    return shipped(shards).mapInArrow(lambda batches: _read(batches, root), _RECORDS)
 
 
 def _sequences(batches, root: str, seed: int):
