@@ -21,7 +21,7 @@ from .common import BLANKS, Remembered, only, shipped, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Nodes and n-grams of a block, on average; a task holds two blocks.
-BLOCK, BLOCK_GRAMS = 256, 1_000_000
+BLOCK, BLOCK_GRAMS = 256, 500_000
 _CHUNK = 1 << 14
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _SIGNED = "doc_id bigint, rk1 bigint, rk2 bigint, node binary, n_grams int, bands array<bigint>"
@@ -55,7 +55,7 @@ def _word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-_word_hashes = Remembered(_word_hash, 400_000, "ngrams")
+_word_hashes = Remembered(_word_hash, 250_000, "ngrams")
 
 
 def shingles(text: bytes, n: int = WORDS):
