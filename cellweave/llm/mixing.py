@@ -20,7 +20,7 @@ from .common import shipped, words, written
 
 #: Weights by rank of the source, all targets' share of all sizes, and most times a source repeats.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-DOCS_PER_BLOCK, BLOCKS_PER_SHARD = 128, 64
+DOCS_PER_BLOCK, BLOCKS_PER_SHARD, MOST_PARTITIONS = 128, 32, 20_000
 #: Sources are configured by hand, one weight each; more than this is taken for a mistake and refused.
 MOST_SOURCES = 100_000
 #: The tree's top is split on the driver down to this many nodes at most; below, on the executors.
@@ -266,10 +266,14 @@ def mixed_documents(documents: DataFrame, seed: int = 7, whole: bool = True) ->
     """
     keyed = documents.select("doc_id", "source", "text", *_row_keys())
     draws = mix(keyed, ["rk1", "rk2"], seed).filter("size(draws) > 0").select("doc.rk1", "doc.rk2", "size", "draws")
-    draws = draws.groupBy("rk1", "rk2").agg(F.max("size").alias("size"), F.max("draws").alias("draws"))
+    draws = written(draws.groupBy("rk1", "rk2").agg(F.max("size").alias("size"), F.max("draws").alias("draws")))
     texts = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("doc"), *_row_keys())
-    df = texts.join(written(draws), ["rk1", "rk2"]).select("doc", "size", F.explode("draws").alias("draw"))
-    df = df.repartition(F.col("draw.shard")).sortWithinPartitions("draw.shard", "draw.place")
+    df = texts.join(draws, ["rk1", "rk2"]).select("doc", "size", F.explode("draws").alias("draw"))
+    # a shard is a partition, or a run of shards where there are very many; their number is known from the draws
+    shards = draws.agg(F.max(F.array_max("draws.shard")).alias("last")).first()["last"]
+    parts = 1 if shards is None else min(shards + 1, MOST_PARTITIONS)
+    at = F.col("draw.shard") if shards is None or parts > shards else F.floor(F.col("draw.shard") * (parts / (shards + 1))).cast("int")
+    df = df.repartitionById(parts, at).sortWithinPartitions("draw.shard", "draw.place")
     if whole:
         return df.select(*[F.col(f"doc.`{c}`").alias(c) for c in documents.columns])
     part = F.array_join(F.slice(words(F.col("doc.text")), 1, F.col("draw.words").cast("int")), " ")
