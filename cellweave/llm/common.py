@@ -152,7 +152,10 @@ class Remembered(dict):
 
 def only(owner: str) -> None:
     """Empties what other operators' memories hold in this worker process; Spark reuses processes from stage to stage."""
+    import pyarrow as pa
+
     for other, held in _memories.items():
         if other != owner:
             for memory in held:
                 memory.clear()
+    pa.default_memory_pool().release_unused()

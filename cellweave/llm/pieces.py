@@ -21,12 +21,15 @@ SPACE = "▁"
 #: Stretches longer than this are not remembered.
 _LONG = 64
 _BATCH = 2000
+#: Stretches that a worker process remembers at most: memory for time, no result depends on it. Jobs whose executors hold
+#: much else besides can ask for fewer.
+REMEMBERED = 600_000
 
 
 class PieceEncoder:
     """Encodes with the pieces and scores of a SentencePiece BPE model with byte fallback and identity normalization."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         import ahocorasick
         import sentencepiece
 
@@ -47,7 +50,7 @@ class PieceEncoder:
         self._by_line = not any("\n" in p for p in self.ids)
         self._by_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self._whole = Remembered(lambda p: self.merged(p) == [p], 100_000, "pieces")
-        self._fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], 400_000, "pieces")
+        self._fits = Remembered(lambda ab: self.merged(ab[0] + ab[1]) == [*ab], most * 2 // 3, "pieces")
         self._spaced = Remembered(lambda part: self._encoded(SPACE + part), most, "pieces")
         self._plain = Remembered(self._encoded, most // 4, "pieces")
 
@@ -147,14 +150,14 @@ class PieceEncoder:
         return self.processor.decode(ids.tolist())
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def piece_encoder(path: str) -> PieceEncoder:
-    """One encoder for each worker process and model file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def piece_encoder(path: str, most: int = REMEMBERED) -> PieceEncoder:
+    """One encoder for each worker process, model file and size of memory."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = PieceEncoder(path, most)
+    return _encoders[path, most]
 
 
 def default_model(name: str = "piece_bpe_32k.model") -> str:
@@ -163,11 +166,11 @@ def default_model(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def _encode(batches, path: str, ids_too: bool):
+def _encode(batches, path: str, ids_too: bool, most: int):
     import pyarrow as pa
 
     only("pieces")
-    enc = piece_encoder(path)
+    enc = piece_encoder(path, most)
     for big in batches:
         for at in range(0, big.num_rows, _BATCH):
             batch = big.slice(at, _BATCH)
@@ -186,7 +189,7 @@ def _encode(batches, path: str, ids_too: bool):
             yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def sentence_pieces(documents: DataFrame, path: str | None = None, ids_too: bool = False) -> DataFrame:
+def sentence_pieces(documents: DataFrame, path: str | None = None, ids_too: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """One row per document row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian u32).
 
     Whole texts with begin and end ids; a null or empty text has just these two and decodes to ''. No row meets another: no
@@ -196,4 +199,4 @@ def sentence_pieces(documents: DataFrame, path: str | None = None, ids_too: bool
     path = path or default_model()
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * ids_too
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shipped(docs).mapInArrow(lambda batches: _encode(batches, path, ids_too), schema)
+    return shipped(docs).mapInArrow(lambda batches: _encode(batches, path, ids_too, remembered), schema)
