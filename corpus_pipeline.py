@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the
-columns of documents.
+columns of documents, and all take empty tables.
 """
 
 from __future__ import annotations
@@ -21,28 +21,29 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go. Null and empty texts are judged by their size; without labels all stay."""
     return keep_selected(docs, _labels(spark, sf_dir))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null and empty texts have no words and go; without labels only the base rule rejects."""
     return keep_by_rules(docs, _labels(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays, that of least doc_id; texts without words all stay."""
     return one_of_each(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their targets, to a whole document: a row for each copy that the mix takes."""
-    return mixed_documents(docs, whole=True)
+    """Sources are mixed to their targets, to a whole document: a row for each copy that the mix takes, shard by shard. A null source
+    is one of its own; texts without words are never taken."""
+    return mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, as digests of its ids and of what they decode to, with their number."""
-    return sentence_pieces(docs)
+    """Ids of each document, as digests of its ids and of what they decode to, with their number; a null text is an empty one."""
+    return sentence_pieces(docs, remembered=150_000)  # the executors' memory is shared with four stages' leftovers
 
 
 STAGES = [
