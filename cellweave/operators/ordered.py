@@ -10,31 +10,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Limits are held in the plan: at most this many buckets.
-MOST_BUCKETS = 256
+#: Limits are held in the plan: at most this many buckets, each of about so many rows.
+MOST_BUCKETS, BUCKET_ROWS = 4096, 500_000
+#: Lookup tables of up to so many different keys are searched in the plan and joined by broadcast.
+FEW_KEYS = 1024
 
 
 def limits(df: DataFrame, order: Column, buckets: int | None = None) -> list[float]:
-    """Quantiles of the order's values, ascending and distinct."""
-    spark = df.sparkSession
-    n = min(MOST_BUCKETS, buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    if n < 2:
-        return []
-    row = df.agg(F.percentile_approx(order.cast("double"), [i / n for i in range(1, n)], 10_000).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    """Quantiles of the order's values, ascending and distinct; as many as the data's size and the session's partitions ask for."""
+    row = df.agg(F.percentile_approx(order.cast("double"), [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)], 20_000).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    n = min(MOST_BUCKETS, buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), row["n"] // BUCKET_ROWS))
+    q = row["q"] or []
+    return sorted({q[i * MOST_BUCKETS // n - 1] for i in range(1, n)}) if q else []
 
 
 def bucket_of(order: Column, at: list[float]) -> Column:
-    """The number of limits at or below a value, by halving."""
+    """The number of limits at or below a value: by halving, and in long lists by counting within a part of them."""
     value = order.cast("double")
 
-    def tree(low: int, high: int) -> Column:
+    def tree(low: int, high: int, leaf) -> Column:
         if low == high:
-            return F.lit(low)
+            return leaf(low)
         mid = (low + high) // 2
-        return F.when(value >= F.lit(at[mid]), tree(mid + 1, high)).otherwise(tree(low, mid))
-
-    return tree(0, len(at))
+        return F.when(value >= F.lit(heads[mid]), tree(mid + 1, high, leaf)).otherwise(tree(low, mid, leaf))
+
+    if len(at) <= 64:
+        heads = at
+        return tree(0, len(at), F.lit)
+    parts = [at[i : i + 64] for i in range(0, len(at), 64)]
+    heads = [p[0] for p in parts[1:]]
+    table = F.array(*[F.array(*map(F.lit, p)) for p in parts])
+    part = tree(0, len(heads), F.lit)
+    return F.coalesce(part * 64 + F.size(F.filter(F.element_at(table, part + 1), lambda x: x <= value)), F.lit(0))
+
+
+def order_key(df: DataFrame, name: str) -> Column:
+    """A double that ascends with a column's values, whatever their type (values that share it share a bucket)."""
+    kind = dict(df.dtypes)[name]
+    c = F.col(f"`{name}`")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.unix_date(c).cast("double") if kind == "date" else c.cast("timestamp").cast("double") if kind.startswith("timestamp") else c.cast("double")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "_n", groups: list[str] | None = None) -> DataFrame:
+    """``df`` with each row's place, from 0, in the order of some columns (within ``groups``): places in buckets and the buckets' sizes."""
+    groups, key = groups or [], order_key(df, order[0])
+    df = df.withColumn("_b", bucket_of(key, limits(df, key)))
+    sizes = df.groupBy(*[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_b").alias("_bb")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(groups))]).orderBy("_bb").rowsBetween(Window.unboundedPreceding, -1)  # MOST_BUCKETS rows of a group at most
+    sizes = sizes.withColumn("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*[f"`{g}`" for g in groups], "_b").orderBy(*[f"`{o}`" for o in order]))
+    on = [F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)] + [F.col("_b") == F.col("_bb")]
+    return df.withColumn("_i", inside).join(sizes, on).withColumn(name, F.col("_p") + F.col("_i") - 1).drop("_b", "_bb", "_i", "_p", "_c", *[f"_g{i}" for i in range(len(groups))])
 
 
 def running(df: DataFrame, order: Column, ties: list, sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
@@ -103,6 +131,12 @@ def approximate_lookup(df: DataFrame, key: Column, table: DataFrame, table_key:
     k = (F.col(table_key) * sign).cast("double")
     last = F.max_by(F.struct(*values), F.struct(*values)) if not above else F.min_by(F.struct(*values), F.struct(*values))
     keys = table.filter(F.col(table_key).isNotNull()).groupBy(k.alias("_lo")).agg(last.alias("_hit"))
+    few = [r["_lo"] for r in keys.select("_lo").limit(FEW_KEYS + 1).collect()] if buckets is None else None
+    if few is not None and len(few) <= FEW_KEYS:
+        at = sorted(few)
+        place = keys.select(bucket_of(F.col("_lo"), at).alias("_kb"), "_hit")
+        met = df.withColumn("_xb", bucket_of((key * sign).cast("double"), at)).join(F.broadcast(place), F.col("_xb") == F.col("_kb"), "left")
+        return met.select(*df.columns, *[F.col(f"_hit.{v}").alias(v) for v in values])
     at = limits(keys, F.col("_lo"), buckets)
     # the next key: within a bucket by a window, at its end the least key of the buckets after
     keys = keys.withColumn("_b", bucket_of(F.col("_lo"), at))
