@@ -246,7 +246,21 @@ def _count(t: Typed) -> Typed:
     return Typed(whole(n.value), "num", n.error)
 
 
-COMPILERS["LEN"] = lambda x: Typed(F.length(text(x).value).cast("double"), "num", x.error)
+def units(s: Column) -> Column:
+    """The number of UTF-16 units, which lengths and places count: two for characters beyond the basic plane."""
+    return (F.octet_length(F.encode(s, "UTF-16BE")) / 2).cast("int")
+
+
+def cut(s: Column, start: Column, n: Column) -> Column:
+    """``n`` units from ``start`` on. Where an end falls within a character of two units, that half is left out: no text can hold it."""
+    raw = F.substring(F.encode(s, "UTF-16BE"), (start - 1) * 2 + 1, F.least(n, F.lit(1_000_000_000)) * 2)
+    raw = F.when(F.hex(F.substring(raw, F.lit(1), F.lit(2))).between("DC00", "DFFF"), F.substring(raw, F.lit(3), F.octet_length(raw))).otherwise(raw)
+    size = F.octet_length(raw)
+    raw = F.when(F.hex(F.substring(raw, size - 1, F.lit(2))).between("D800", "DBFF"), F.substring(raw, F.lit(1), size - 2)).otherwise(raw)
+    return F.when(units(s) == F.length(s), F.substring(s, start, n)).otherwise(F.decode(raw, "UTF-16BE"))
+
+
+COMPILERS["LEN"] = lambda x: Typed(units(text(x).value).cast("double"), "num", x.error)
 COMPILERS["UPPER"] = lambda x: Typed(F.upper(text(x).value), "text", x.error)
 COMPILERS["LOWER"] = lambda x: Typed(F.lower(text(x).value), "text", x.error)
 COMPILERS["TRIM"] = lambda x: Typed(F.trim(F.regexp_replace(text(x).value, " +", " ")), "text", x.error)
@@ -261,25 +275,32 @@ COMPILERS["CONCAT"] = COMPILERS["CONCATENATE"]
 @compiles("LEFT")
 def _left(x, n=_lit(1.0)):
     n = _count(n)
-    return guarded(F.substring(text(x).value, F.lit(1), n.value), "text", x, n, when_error(n.value < 0, "#VALUE!"))
+    return guarded(cut(text(x).value, F.lit(1), n.value), "text", x, n, when_error(n.value < 0, "#VALUE!"))
 
 
 @compiles("RIGHT")
 def _right(x, n=_lit(1.0)):
     n, s = _count(n), text(x).value
-    return guarded(F.when(n.value <= 0, "").otherwise(F.substring(s, F.greatest(F.length(s) - n.value + 1, F.lit(1)), n.value)), "text", x, n, when_error(n.value < 0, "#VALUE!"))
+    return guarded(F.when(n.value <= 0, "").otherwise(cut(s, F.greatest(units(s) - n.value + 1, F.lit(1)), n.value)), "text", x, n, when_error(n.value < 0, "#VALUE!"))
 
 
 @compiles("MID")
 def _mid(x, start, n):
     start, n = _count(start), _count(n)
-    return guarded(F.substring(text(x).value, F.greatest(start.value, F.lit(1)), n.value), "text", x, start, n, when_error((start.value < 1) | (n.value < 0), "#VALUE!"))
+    return guarded(cut(text(x).value, F.greatest(start.value, F.lit(1)), F.greatest(n.value, F.lit(0))), "text", x, start, n, when_error((start.value < 1) | (n.value < 0), "#VALUE!"))
+
+
+def place(at: Column, s: Column) -> Column:
+    """A character's place in units, from its place in characters; 0 stays."""
+    return F.when(at == 0, 0).otherwise(units(F.substring(s, F.lit(1), at - 1)) + 1)
 
 
 @compiles("FIND")
 def _find(needle, x, start=_lit(1.0)):
-    at = F.locate(str(needle.constant), text(x).value, int(float(start.constant))) if needle.constant is not None and start.constant is not None else F.instr(text(x).value, text(needle).value)
-    return guarded(at.cast("double"), "num", needle, x, when_error(at == 0, "#VALUE!"))
+    s, k = text(x).value, int(float(_constant(start, "FIND")))
+    rest = s if k <= 1 else cut(s, F.lit(k), units(s))
+    at = place(F.instr(rest, text(needle).value), rest)
+    return guarded((at + k - 1).cast("double"), "num", needle, x, when_error((at == 0) | F.lit(k < 1) | (units(s) + 1 < k), "#VALUE!"))
 
 
 @compiles("SUBSTITUTE")
@@ -586,7 +607,7 @@ def _syd(cost, salvage, life, per):
 @compiles("DDB")
 def _ddb(cost, salvage, life, per, factor=_lit(2.0)):
     c, s, n, k, f = _nums(cost, salvage, life, per, factor)
-    bad = (c.value < 0) | (s.value < 0) | (n.value <= 0) | (f.value <= 0) | (k.value <= 0) | (k.value > n.value)
+    bad = (n.value <= 0) | (k.value < 1)
     state = F.struct(c.value.alias("left"), F.lit(0.0).alias("part"))
 
     def step(acc, _):
@@ -662,8 +683,9 @@ def _search(needle, x, start=_lit(1.0)):
             out.append({"*": ".*", "?": "."}.get(c) or ("\\" + c if c in r"\.[]{}()+-^$|/" else c))
         i += 1
     s = text(x).value
-    at = F.regexp_instr(F.substring(s, k, 1_000_000), F.lit("(?is)" + "".join(out)))
-    return guarded((at + k - 1).cast("double"), "num", needle, x, when_error((at == 0) | (F.length(s) + 1 < k) | F.lit(k < 1), "#VALUE!"))
+    rest = s if k <= 1 else cut(s, F.lit(k), units(s))
+    at = place(F.regexp_instr(rest, F.lit("(?is)" + "".join(out))), rest)
+    return guarded((at + k - 1).cast("double"), "num", needle, x, when_error((at == 0) | (units(s) + 1 < k) | F.lit(k < 1), "#VALUE!"))
 
 
 def _grouped(x: Column, digits: int, comma: bool) -> Column:

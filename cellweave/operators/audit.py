@@ -9,7 +9,8 @@ from ..formula.syntax import Ref, shape, translate, unparse, walk
 from ..formula.values import address, agree
 from .book import Book
 
-MOST_FINDINGS, MOST_CELLS = 200, 256
+#: References of more cells are not looked into.
+MOST_CELLS = 256
 
 
 @dataclass(frozen=True)
@@ -51,8 +52,8 @@ def _reads(book: Book, sheet: int, tree) -> tuple[bool, bool]:
     return computed, present
 
 
-def find_hardcoded(book: Book, most: int = MOST_FINDINGS) -> list[Finding]:
-    """Findings of an evaluated workbook, rows before columns; each literal is reported once."""
+def find_hardcoded(book: Book, most: int | None = None) -> list[Finding]:
+    """Findings of an evaluated workbook, rows before columns; each literal is reported once, ``most`` at most."""
     typed = {at for at, r in book.cells.items() if r.formula is None and isinstance(r.value, float)}
     # by line: shape of the formula -> positions on the line
     lines: dict[tuple, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
@@ -72,7 +73,7 @@ def find_hardcoded(book: Book, most: int = MOST_FINDINGS) -> list[Finding]:
             if found:
                 out.append(found)
                 break
-        if len(out) == most:
+        if most is not None and len(out) == most:
             break
     return out
 

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Limits are held in the plan: at most this many buckets, each of about so many rows.
-MOST_BUCKETS, BUCKET_ROWS = 4096, 500_000
+MOST_BUCKETS, BUCKET_ROWS = 4096, 100_000
 #: Lookup tables of up to so many different keys are searched in the plan and joined by broadcast.
 FEW_KEYS = 1024
 
 
 def limits(df: DataFrame, order: Column, buckets: int | None = None) -> list[float]:
-    """Quantiles of the order's values, ascending and distinct; as many as the data's size and the session's partitions ask for."""
-    row = df.agg(F.percentile_approx(order.cast("double"), [i / MOST_BUCKETS for i in range(1, MOST_BUCKETS)], 20_000).alias("q"), F.count(F.lit(1)).alias("n")).first()
-    n = min(MOST_BUCKETS, buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), row["n"] // BUCKET_ROWS))
-    q = row["q"] or []
-    return sorted({q[i * MOST_BUCKETS // n - 1] for i in range(1, n)}) if q else []
+    """Quantiles of the order's values, ascending and distinct; as many as the data's size asks for, none for a bucket's rows or fewer."""
+    n = min(MOST_BUCKETS, buckets or -(-df.count() // BUCKET_ROWS))
+    if n < 2:
+        return []
+    row = df.agg(F.percentile_approx(order.cast("double"), [i / n for i in range(1, n)], 20_000).alias("q")).first()
+    return sorted(set(row["q"] or []))
 
 
 def bucket_of(order: Column, at: list[float]) -> Column:

@@ -10,8 +10,7 @@ from ..functions.finance import PROBES, root
 def roots(flows, times, guess: float = 0.1):
     """For each row of flows (zero where there is none) at its times the rate at which its value is 0; NaN if none is found.
 
-    As ``root``, for many rows at once: of the brackets between probes the one nearest to the guess, halved together; rows
-    without a bracket go by ``root``.
+    As ``root``, for many rows at once: the lowest bracket between probes, halved together; rows without a bracket go by ``root``.
     """
     import numpy as np
 
@@ -21,8 +20,7 @@ def roots(flows, times, guess: float = 0.1):
         known = np.stack([value(np.full(len(flows), p)) for p in probes], 1)
         low, high = probes[:-1], probes[1:]
         span = np.isfinite(known[:, :-1]) & np.isfinite(known[:, 1:]) & ((known[:, :-1] < 0) != (known[:, 1:] < 0))
-        away = np.where((low <= guess) & (guess <= high), 0.0, np.minimum(abs(low - guess), abs(high - guess)))
-        best = np.where(span, away, np.inf).argmin(1)
+        best = span.argmax(1)
         out = np.full(len(flows), np.nan)
         ok = span.any(1)
         a, b, below = low[best].copy(), high[best].copy(), np.take_along_axis(known, best[:, None], 1)[:, 0] < 0
@@ -66,4 +64,5 @@ def normal(frames):
     """Distribution, density and inverse of z; back is z again."""
     for pdf in frames:
         z = pdf["z"].tolist()
-        yield pdf.assign(cdf=[normal_cdf(x) for x in z], pdf=[normal_pdf(x) for x in z], back=[normal_inverse(normal_cdf(x)) for x in z])
+        cdf = list(map(normal_cdf, z))
+        yield pdf.assign(cdf=cdf, pdf=list(map(normal_pdf, z)), back=list(map(normal_inverse, cdf)))

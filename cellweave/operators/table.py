@@ -43,6 +43,8 @@ _LOOKUPS = ("VLOOKUP", "XLOOKUP", "LOOKUP", "MATCH", "XMATCH", "INDEX")
 #: Criteria and patterns of rows that are more than plain values are met one by one with the different values of their ranges: at most so
 #: many different ones, or the formula is refused.
 MOST_ODD = 1000
+#: LARGE and SMALL of up to so many are a sorted limit where there are no groups; beyond, and in groups, places in buckets give them.
+MOST_TOP = 10_000
 #: Rows of a window block; a block also holds the rows around it that its own rows look at.
 WINDOW_ROWS = 200_000
 _CONDITIONAL = {"SUMIFS": "SUM", "AVERAGEIFS": "AVERAGE", "MAXIFS": "MAX", "MINIFS": "MIN", "COUNTIFS": "COUNT", "SUMIF": "SUM", "AVERAGEIF": "AVERAGE", "COUNTIF": "COUNT"}
@@ -293,11 +295,11 @@ class Sheet:
 
     def _summarised(self, name: str, args) -> Typed:
         """A whole-column aggregate as a scalar subquery of one row, evaluated once."""
-        source, groups, rows, kind, open_error = self._summary(name, args)
-        if groups:
+        source, plan, kind, open_error = self._summary(name, args)
+        if source.within:
             raise Refusal("REF_SHAPE", "an aggregate within groups needs a join: add it as a column", name)
-        s = rows.select(F.struct("value", "error")).scalar()
-        return self._opened(name, args, Typed(s["value"], kind, s["error"] if open_error else None))
+        s = source._made(plan).select(F.struct("value", "error")).scalar()
+        return self._opened(name, args, guarded(s["value"], kind, s["error"] if open_error else None))
 
     def _opened(self, name: str, args, t: Typed) -> Typed:
         """FORECAST's aggregate is the line; its point is this row's."""
@@ -306,15 +308,30 @@ class Sheet:
         x = number(self._tree(args[0]))
         return finite(t.value["cut"] + t.value["slope"] * x.value, x, t)
 
-    def _summary(self, name: str, args):
-        """(sheet, its groups, a DataFrame with a row for each group: value and error, the value's kind, whether errors can arise)."""
+    def _made(self, plan) -> DataFrame:
+        """A row for each group: value and error."""
+        if isinstance(plan, DataFrame):
+            return plan
+        columns, value, error = plan
+        return self._rows(columns).groupBy(*[f"`{g}`" for g in self.within]).agg(value.alias("value"), error.alias("error"))
+
+    def _rows(self, columns: dict[str, Column | None]) -> DataFrame:
+        """Groups, order and some columns made from the sheet's, under names of their own."""
+        keep = list(dict.fromkeys([*self.within, *self.order]))
+        if clash := set(columns) & set(keep):
+            raise Refusal("FEATURE", f"columns named {sorted(clash)} cannot order or group rows here", "name")
+        return self.df.select(*[F.col(f"`{c}`") for c in keep], *[(F.lit(None).cast("string") if c is None else c).alias(k) for k, c in columns.items()])
+
+    def _summary(self, name: str, args, tag: str = ""):
+        """(sheet, plan, the value's kind, whether errors can arise); a plan is a DataFrame with a row for each group, or columns of the
+        sheet and the value and error that one aggregation makes of them (``tag`` tells such columns apart)."""
         if name == "SUBTOTAL":
             code = _whole(_constant(args[0]), "SUBTOTAL")
             if 101 <= code <= 111:
                 raise Refusal("ARG_UNSUPPORTED", "SUBTOTAL over visible rows needs to know which rows are hidden", "SUBTOTAL")
             if code not in _SUBTOTAL:
                 raise Refusal("ARG_UNSUPPORTED", f"SUBTOTAL code {code}", "SUBTOTAL")
-            return self._summary(_SUBTOTAL[code], args[1:])
+            return self._summary(_SUBTOTAL[code], args[1:], tag)
         refs = [n for a in args for n in walk(a) if isinstance(n, Ref) and n.shape == "cols"]
         if len({r.sheet for r in refs}) != 1 or any(r.left != r.right for r in refs):
             raise Refusal("REF_SHAPE", "whole columns must be single ones of one sheet", name)
@@ -322,35 +339,26 @@ class Sheet:
         groups, order = source.within, source.order
         rowwise = replace(source, base=1, found={}, blocks=())
         one = lambda n: Ref(None, 1, n.left, 1, n.left, (False,) * 4) if isinstance(n, Ref) and n.shape == "cols" else n
-        keep = [F.col(f"`{c}`") for c in dict.fromkeys([*groups, *order])]
-
-        def rows_of(**columns) -> DataFrame:
-            clash = set(columns) & {*groups, *order}
-            if clash:
-                raise Refusal("FEATURE", f"columns named {sorted(clash)} cannot order or group rows here", name)
-            return source.df.select(*keep, *[(F.lit(None).cast("string") if c is None else c).alias(k) for k, c in columns.items()])
-
-        by = lambda df, value, error: df.groupBy(*[f"`{g}`" for g in groups]).agg(value.alias("value"), error.alias("error"))
+        x_, y_, e_, ex_, ey_ = (f"_{k}{tag}" for k in ("x", "y", "e", "ex", "ey"))
         if name == "SUMPRODUCT":
             total, errors = F.lit(1.0), []
             for a in args:
                 t = rowwise._tree(rebuilt(a, one))
                 errors.append(t.error)
                 total = total * (F.coalesce(t.value.cast("double"), F.lit(0.0)) if t.kind in ("num", "bool") else F.lit(0.0))
-            rows = rows_of(_x=total, _e=error_of(*errors))
-            return source, groups, by(rows, F.coalesce(F.sum("_x"), F.lit(0.0)), _first_error(F.col("_e"), order)), "num", True
+            return source, ({x_: total, e_: error_of(*errors)}, F.coalesce(F.sum(x_), F.lit(0.0)), _first_error(F.col(e_), order)), "num", True
         if name in _PAIRED:
             pair = args[1:] if name.startswith("FORECAST") else args
             if len(pair) != 2 or not all(map(_is_column, pair)):
                 raise Refusal("REF_SHAPE", f"{name} takes two whole columns here", name)
             y, x = (rowwise._column(rowwise._named(a.left)) for a in pair)
             known = y.value.isNotNull() & x.value.isNotNull() if y.kind == x.kind == "num" else F.lit(False)
-            rows = rows_of(_y=F.when(known, y.value.cast("double")), _x=F.when(known, x.value.cast("double")), _ey=y.error, _ex=x.error)
-            m = F.regr_slope("_y", "_x")
-            value = {"CORREL": F.corr("_y", "_x"), "RSQ": F.pow(F.corr("_y", "_x"), 2), "SLOPE": m, "INTERCEPT": F.regr_intercept("_y", "_x")}.get(name, F.struct(m.alias("slope"), F.regr_intercept("_y", "_x").alias("cut")))
-            flat = (F.coalesce(F.var_pop("_x"), F.lit(0.0)) == 0) | ((F.coalesce(F.var_pop("_y"), F.lit(0.0)) == 0) if name in ("CORREL", "RSQ") else F.lit(False))
-            error = F.coalesce(_first_error(F.col("_ey"), order), _first_error(F.col("_ex"), order), F.when(flat, "#DIV/0!"))
-            return source, groups, by(rows, value, error), "num", True
+            columns = {y_: F.when(known, y.value.cast("double")), x_: F.when(known, x.value.cast("double")), ey_: y.error, ex_: x.error}
+            m = F.regr_slope(y_, x_)
+            value = {"CORREL": F.corr(y_, x_), "RSQ": F.pow(F.corr(y_, x_), 2), "SLOPE": m, "INTERCEPT": F.regr_intercept(y_, x_)}.get(name, F.struct(m.alias("slope"), F.regr_intercept(y_, x_).alias("cut")))
+            flat = (F.coalesce(F.var_pop(x_), F.lit(0.0)) == 0) | ((F.coalesce(F.var_pop(y_), F.lit(0.0)) == 0) if name in ("CORREL", "RSQ") else F.lit(False))
+            error = F.coalesce(_first_error(F.col(ey_), order), _first_error(F.col(ex_), order), F.when(flat, "#DIV/0!"))
+            return source, (columns, value, error), "num", True
         if not _is_column(args[0]):
             raise Refusal("REF_SHAPE", f"{name} has a column form over one whole column", name)
         if len(args) != (2 if name in _RANKED and name != "MEDIAN" else 1):
@@ -360,22 +368,54 @@ class Sheet:
         if name in ("COUNTA", "COUNTBLANK"):
             held = t.value.isNotNull() | (t.error.isNotNull() if t.error is not None else F.lit(False))
             blank = ~held if t.kind != "text" else ~held | F.coalesce(t.value == "", F.lit(False))
-            rows = rows_of(_x=held if name == "COUNTA" else blank)
-            return source, groups, by(rows, F.count_if("_x").cast("double"), F.lit(None).cast("string")), "num", False
+            return source, ({x_: held if name == "COUNTA" else blank}, F.count_if(x_).cast("double"), F.max(F.lit(None).cast("string"))), "num", False
         if name in ("AND", "OR", "XOR"):
             truth = t.value if t.kind == "bool" else t.value != 0 if t.kind == "num" else F.lit(None).cast("boolean")
-            rows = rows_of(_x=truth, _e=t.error)
-            value = {"AND": F.bool_and("_x"), "OR": F.bool_or("_x"), "XOR": F.count_if("_x") % 2 == 1}[name]
-            return source, groups, by(rows, value, F.coalesce(_first_error(F.col("_e"), order), F.when(F.count("_x") == 0, "#VALUE!"))), "bool", True
+            value = {"AND": F.bool_and(x_), "OR": F.bool_or(x_), "XOR": F.count_if(x_) % 2 == 1}[name]
+            return source, ({x_: truth, e_: t.error}, value, F.coalesce(_first_error(F.col(e_), order), F.when(F.count(x_) == 0, "#VALUE!"))), "bool", True
         if name in ("AVERAGEA", "MINA", "MAXA"):
             seen = F.when(t.value.isNotNull(), 0.0) if t.kind == "text" else t.value.cast("double")
             name = name[:-1] if name != "AVERAGEA" else "AVERAGE"
-        rows = rows_of(_x=seen, _e=t.error)
+        k = _constant(args[1]) if name in ("LARGE", "SMALL") else None
+        if not groups and isinstance(k, (int, float)) and 1 <= math.ceil(k) <= MOST_TOP:
+            k = math.ceil(k)  # a bounded top-k
+            few = source._rows({x_: seen}).filter(F.col(x_).isNotNull()).orderBy(F.col(x_).desc() if name == "LARGE" else F.col(x_)).limit(k)
+            got = few.agg(F.when(F.count(x_) == k, (F.min if name == "LARGE" else F.max)(x_)).alias("value"))
+            bad = source._rows({e_: t.error}).agg(_first_error(F.col(e_), order).alias("first")).select("first").scalar() if t.error is not None else F.lit(None).cast("string")
+            return source, got.select("value", F.coalesce(bad, F.when(F.col("value").isNull(), "#NUM!")).alias("error")), "num", True
         if name in _RANKED:
-            return source, groups, self._ranked_summary(name, rows, args, groups, order), "num", True
-        value = _aggregated(name, F.col("_x")).cast("double")
-        error = F.lit(None).cast("string") if name == "COUNT" else F.coalesce(_first_error(F.col("_e"), order), F.when(value.isNull(), _EMPTY[name]) if name in _EMPTY else F.lit(None).cast("string"), F.when(F.isnan(value) | (F.abs(value) == math.inf), "#NUM!"))
-        return source, groups, by(rows, value, error), "num", name != "COUNT"
+            return source, self._ranked_summary(name, source._rows({"_x": seen, "_e": t.error}), args, groups, order), "num", True
+        value = _aggregated(name, F.col(x_)).cast("double")
+        error = F.max(F.lit(None).cast("string")) if name == "COUNT" else F.coalesce(_first_error(F.col(e_), order), F.when(value.isNull(), _EMPTY[name]) if name in _EMPTY else F.lit(None).cast("string"), F.when(F.isnan(value) | (F.abs(value) == math.inf), "#NUM!"))
+        return source, ({x_: seen, e_: t.error}, value, error), "num", name != "COUNT"
+
+    def summary(self, formulas: dict[str, str]) -> DataFrame:
+        """A row for each group of ``within``, or one row: a column for each formula over whole columns, and ``name_error`` beside it
+        where errors can arise. All aggregates that need no order of values come from one aggregation."""
+        trees, found, plain, later = {n: parse(f) for n, f in formulas.items()}, {}, {}, []
+        for tree in trees.values():
+            for node in walk(tree):
+                if isinstance(node, Call) and node.name in _SUMMARIES and node not in found and any(isinstance(n, Ref) and n.shape == "cols" and n.sheet is None for n in walk(node)):
+                    k = len(found)
+                    _, plan, kind, open_error = self._summary(node.name, node.args, str(k))
+                    if isinstance(plan, DataFrame):
+                        later.append((k, plan))
+                    else:
+                        plain[k] = plan
+                    found[node] = guarded(F.col(f"_s{k}"), kind, F.col(f"_t{k}") if open_error else None)
+        rows = self._rows({c: x for columns, _, _ in plain.values() for c, x in columns.items()})
+        df = rows.groupBy(*[F.col(f"`{g}`") for g in self.within]).agg(F.count(F.lit(1)).alias("_n"), *[x.alias(f"_{c}{k}") for k, (_, value, error) in plain.items() for c, x in (("s", value), ("t", error))])
+        for k, plan in later:
+            plan = plan.select(*[F.col(f"`{g}`").alias(f"_q{i}") for i, g in enumerate(self.within)], F.col("value").alias(f"_s{k}"), F.col("error").alias(f"_t{k}"))
+            df = (df.join(plan, [F.col(f"`{g}`").eqNullSafe(F.col(f"_q{i}")) for i, g in enumerate(self.within)]) if self.within else df.join(plan)).drop(*[f"_q{i}" for i in range(len(self.within))])
+        out, made = Sheet(df, {}, cells=self.cells, others=self.others, now=self.now), {}
+        out.found = {node: out._opened(node.name, node.args, t) for node, t in found.items()}
+        for name, tree in trees.items():
+            t = out._tree(tree)
+            made[name] = F.lit(None).cast("double") if t.kind == "err" else t.value
+            if t.error is not None:
+                made[f"{name}_error"] = t.error
+        return df.select(*[F.col(f"`{g}`") for g in self.within], *[c.alias(n) for n, c in made.items()])
 
     @staticmethod
     def _ranked_summary(name: str, rows: DataFrame, args, groups: list[str], order: list[str]) -> DataFrame:
@@ -477,10 +517,11 @@ class Sheet:
         if name in _AGGREGATES and len(args) == 1 and isinstance(args[0], Ref) and args[0].shape == "range" and args[0].fixed[0] and not args[0].fixed[2] and not self.within:
             return self._running(node, column)
         if name in _SUMMARIES and self.within and any(isinstance(n, Ref) and n.shape == "cols" and n.sheet is None for a in args for n in walk(a)):
-            _, groups, rows, kind, open_error = self._summary(name, args)
-            rows = rows.select(*[F.col(f"`{g}`").alias(f"{column}_g{i}") for i, g in enumerate(groups)], F.col("value").alias(column), F.col("error").alias(f"{column}_e"))
+            source, plan, kind, open_error = self._summary(name, args)
+            groups = source.within
+            rows = source._made(plan).select(*[F.col(f"`{g}`").alias(f"{column}_g{i}") for i, g in enumerate(groups)], F.col("value").alias(column), F.col("error").alias(f"{column}_e"))
             df = self.df.join(rows, [F.col(f"`{g}`").eqNullSafe(F.col(f"{column}_g{i}")) for i, g in enumerate(groups)], "left").drop(*[f"{column}_g{i}" for i in range(len(groups))])
-            t = Typed(F.col(f"`{column}`"), kind, F.col(f"`{column}_e`") if open_error else None)
+            t = guarded(F.col(f"`{column}`"), kind, F.col(f"`{column}_e`") if open_error else None)
             return replace(self, df=df), self._opened(name, args, t), [column, f"{column}_e"]
         return self, None, []
 
@@ -538,10 +579,11 @@ class Sheet:
                 raise Refusal("ARG_UNSUPPORTED", "RANK within groups over a column that can hold errors has no column form", node.name)
             error = F.coalesce(t.error, others.select("e").scalar())
         # a blank counts as 0, which may not be among the values
-        zero = self.df.filter(t.value == 0).limit(1).count() if not groups else 1
-        missing = F.when(t.value.isNull(), "#N/A") if not zero else None
-        if zero and self.df.filter(t.value.isNull() if t.error is None else t.value.isNull() & t.error.isNull()).limit(1).count():
-            raise Refusal("ARG_UNSUPPORTED", "RANK of blank cells among zeros has no column form", node.name)
+        blank = t.value.isNull() if t.error is None else t.value.isNull() & t.error.isNull()
+        seen = self.df.agg(F.count_if(blank).alias("blanks"), F.count_if(t.value == 0).alias("zeros")).first()
+        if seen["blanks"] and (seen["zeros"] or groups):
+            raise Refusal("ARG_UNSUPPORTED", "RANK of blank cells among zeros or within groups has no column form", node.name)
+        missing = F.when(t.value.isNull(), "#N/A") if seen["blanks"] else None
         return replace(self, df=df), guarded(F.col(f"`{column}`"), "num", error, missing), [column]
 
     # ---- lookups

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.table import Sheet
 from .common import filled, r6, read, s6, serial
 
 #: All queries of this module, filled below.
@@ -152,3 +153,59 @@ def math_more(spark, sf_dir):
     names = {"divisor": "=GCD(A1*6,36)", "multiple": "=LCM(A1,12)", "fact": "=FACT(MOD(A1,15))", "choose20": "=COMBIN(20,MOD(A1,9))", "up7": "=CEILING.MATH(B1,7)", "down7": "=FLOOR.MATH(-B1,7)", "h": "=HOUR(TIME(A1,30,0))", "mi": "=MINUTE(TIME(0,A1,0))"}
     df = filled(read(spark, sf_dir, "part"), {"A": "p_size", "B": "p_retailprice"}, {n: (chr(67 + i), f) for i, (n, f) in enumerate(names.items())}, ["p_partkey"])
     return df.select("p_partkey", "divisor", "multiple", "fact", r6("choose20").alias("choose20"), "up7", "down7", "h", "mi")
+
+
+#: name -> (formula, SQL) over A = p_retailprice / 1000, B = (p_size - 25) / 26 and C = p_size.
+_MATH = {
+    "absolute": ("=ABS(B1)", "abs(y)"), "sign": ("=SIGN(B1)", "sign(y)"), "exponential": ("=EXP(A1)", "exp(x)"), "root": ("=SQRT(A1)", "sqrt(x)"), "natural": ("=LN(A1)", "ln(x)"), "decimal10": ("=LOG10(A1)", "log10(x)"), "log3": ("=LOG(A1,3)", "ln(x) / ln(3)"), "power": ("=POWER(A1,B1)", "power(x, y)"),
+    "circle": ("=PI()*A1", "pi() * x"), "sine": ("=SIN(A1)", "sin(x)"), "cosine": ("=COS(A1)", "cos(x)"), "tangent": ("=TAN(B1)", "tan(y)"), "sineh": ("=SINH(A1)", "(exp(x) - exp(-x)) / 2"), "cosineh": ("=COSH(A1)", "(exp(x) + exp(-x)) / 2"), "tangenth": ("=TANH(A1)", "(exp(x) - exp(-x)) / (exp(x) + exp(-x))"),
+    "arcsine": ("=ASIN(B1)", "asin(y)"), "arccosine": ("=ACOS(B1)", "acos(y)"), "arctangent": ("=ATAN(A1)", "atan(x)"), "arctangent2": ("=ATAN2(A1,B1)", "atan2(y, x)"), "in_degrees": ("=DEGREES(A1)", "x * 180 / pi()"), "in_radians": ("=RADIANS(A1)", "x * pi() / 180"), "plus": ("=+A1", "x"),
+    "doubling": ("=PDURATION(0.05,A1,2*A1)", "ln(2) / ln(1.05)"), "seconds": ("=SECOND(43000.5+C1/86400)", "p_size"), "clock": ('=TIMEVALUE("12:30:00")+A1*0', "12.5 / 24"), "thirty": ("=DAYS360(43831,43831+C1)", "p_size - CASE WHEN p_size >= 31 THEN 1 ELSE 0 END"),
+}
+
+
+@query("SELECT p_partkey, " + ", ".join(f"{s6(sql)} AS {n}" for n, (_, sql) in _MATH.items()) + " FROM (SELECT p_partkey, p_size, p_retailprice / 1000 AS x, (p_size - 25) / 26.0::DOUBLE AS y FROM part)")
+def math_functions(spark, sf_dir):
+    """Elementary functions of each row."""
+    df = read(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 1000).alias("x"), ((F.col("p_size") - 25) / F.lit(26.0)).alias("y"))
+    df = filled(df, {"A": "x", "B": "y", "C": "p_size"}, {n: (_letter(i), f) for i, (n, (f, _)) in enumerate(_MATH.items())}, ["p_partkey"])
+    return df.select("p_partkey", *[r6(n).alias(n) for n in _MATH])
+
+
+def _letter(i: int) -> str:
+    return "D" + chr(65 + i) if i < 26 else "E" + chr(39 + i)
+
+
+#: name -> (formula, SQL) over A = c_name, B = c_mktsegment and C = c_custkey.
+_TEXT = {
+    "small": ("=LOWER(A1)", "lower(c_name)"), "title": ("=PROPER(B1)", "upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2))"), "cleaned": ("=CLEAN(A1&CHAR(9)&CHAR(10))", "c_name"), "same": ("=EXACT(B1,UPPER(B1))", "c_mktsegment = upper(c_mktsegment)"), "differs": ("=EXACT(B1,LOWER(B1))", "c_mktsegment = lower(c_mktsegment)"),
+    "replaced": ('=REPLACE(A1,1,9,"C")', "'C' || substr(c_name, 10)"), "joined": ('=CONCATENATE(A1,"-",B1)', "c_name || '-' || c_mktsegment"), "glued": ("=CONCAT(B1,C1)", "c_mktsegment || CAST(c_custkey AS VARCHAR)"), "letter": ("=UNICHAR(65+MOD(C1,26))", "chr((65 + c_custkey % 26)::INTEGER)"), "code": ("=CODE(B1)", "CAST(ascii(c_mktsegment) AS DOUBLE)"),
+    "number": ("=VALUE(RIGHT(A1,9))", "CAST(right(c_name, 9) AS DOUBLE)"), "european": ('=NUMBERVALUE("1.000,5",",",".")+C1', "1000.5 + c_custkey::DOUBLE"), "emoji": ('=LEN(B1&UNICHAR(128578))', "CAST(length(c_mktsegment) + 2 AS DOUBLE)"), "after_emoji": ('=FIND("a",UNICHAR(128578)&"xa")+C1', "4 + c_custkey::DOUBLE"), "beyond": ('=MID(UNICHAR(128578)&B1,3,3)', "substr(c_mktsegment, 1, 3)"),
+    "day": ('=DATEVALUE("2026-7-25")+C1', "46228 + c_custkey::DOUBLE"),
+}
+
+
+@query("SELECT c_custkey, " + ", ".join(f"{sql} AS {n}" for n, (_, sql) in _TEXT.items()) + " FROM customer")
+def text_more(spark, sf_dir):
+    """More text functions of each row; lengths and places count UTF-16 units."""
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    sheet = Sheet(df, {"A": "c_name", "B": "c_mktsegment", "C": "c_custkey"})
+    for i, (n, (f, _)) in enumerate(_TEXT.items()):
+        sheet = sheet.add(_letter(i), n, f)
+    return sheet.df.select("c_custkey", *_TEXT)
+
+
+#: name -> (formula, SQL) over A = c_acctbal, B = c_nationkey and C = c_mktsegment.
+_LOGIC = {
+    "trapped": ("=IFERROR(IFNA(A1/B1,-1),-2)", "CASE WHEN b = 0 THEN -2 ELSE a / b END"), "missing": ("=IFNA(IF(B1>12,NA(),B1),5)", "CASE WHEN b > 12 THEN 5 ELSE b END::DOUBLE"), "negated": ("=NOT(B1=0)", "b <> 0"), "failed": ("=ISERROR(A1/B1)", "b = 0"), "failed_other": ("=ISERR(IF(B1=0,NA(),A1/(B1-1)))", "b = 1"), "absent": ("=ISNA(IF(B1=0,NA(),1))", "b = 0"),
+    "no_text": ("=ISNONTEXT(C1)", "FALSE"), "truth": ("=ISLOGICAL(B1=0)", "TRUE"), "odd": ("=ISODD(B1)", "b % 2 = 1"), "yes": ("=TRUE()", "TRUE"), "no": ("=FALSE()", "FALSE"), "every": ("=AND(B1>3,A1>0)", "b > 3 AND a > 0"), "some": ("=OR(B1>20,A1<0)", "b > 20 OR a < 0"), "either": ("=XOR(B1>3,A1>0)", "(b > 3) <> (a > 0)"), "is_ref": ("=ISREF(A1)", "TRUE"),
+}
+
+
+@query("SELECT c_custkey, " + ", ".join(f"{sql} AS {n}" for n, (_, sql) in _LOGIC.items()) + " FROM (SELECT c_custkey, c_acctbal AS a, c_nationkey AS b, c_mktsegment AS c FROM customer)")
+def logic_info(spark, sf_dir):
+    """Logical and information functions of each row; error values are trapped or asked about."""
+    sheet = Sheet(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment"), {"A": "c_acctbal", "B": "c_nationkey", "C": "c_mktsegment"})
+    for i, (n, (f, _)) in enumerate(_LOGIC.items()):
+        sheet = sheet.add(_letter(i), n, f)
+    return sheet.df.select("c_custkey", *_LOGIC)

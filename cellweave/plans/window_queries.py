@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..operators.ordered import ranked, running
+from ..operators.ordered import running
 from ..operators.table import Sheet
 from .common import filled, money, r6, read
 
@@ -32,11 +31,10 @@ def running_total(spark, sf_dir):
 @query("""
 SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC) AS place, c_acctbal >= (SELECT c_acctbal FROM customer ORDER BY c_acctbal DESC LIMIT 1 OFFSET 9) AS top10, CAST((SELECT c_acctbal FROM customer ORDER BY c_acctbal LIMIT 1 OFFSET 4) AS DOUBLE) AS small5 FROM customer""")
 def rank_largek(spark, sf_dir):
-    """RANK over everything, LARGE and SMALL as bounded top-k."""
-    df = read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    large = df.orderBy(F.col("c_acctbal").desc()).limit(10).agg(F.min("c_acctbal")).scalar()
-    small = df.orderBy("c_acctbal").limit(5).agg(F.max("c_acctbal")).scalar()
-    return ranked(df, F.col("c_acctbal"), "place").select("c_custkey", F.col("place").cast("bigint").alias("place"), (F.col("c_acctbal") >= large).alias("top10"), small.alias("small5"))
+    """RANK over everything, LARGE and SMALL of a whole column."""
+    sheet = Sheet(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), {"A": "c_acctbal"}).add("B", "place", "=RANK(A1,A:A)").add("C", "top10", "=A1>=LARGE(A:A,10)").add("D", "small5", "=SMALL(A:A,5)")
+    return sheet.df.select("c_custkey", F.col("place").cast("bigint").alias("place"), "top10", "small5")
+
 
 
 @query("""
@@ -91,9 +89,6 @@ def range_union_intersect(spark, sf_dir):
 WITH r AS (SELECT p_brand, p_retailprice AS v, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS u FROM part)
 SELECT p_brand, max(v) FILTER (d = 3) AS large3, max(v) FILTER (u = 2) AS small2 FROM r GROUP BY p_brand""")
 def large_small_by_group(spark, sf_dir):
-    """LARGE and SMALL of each group: ranks are limited before rows meet, so no group is held whole."""
-    df = read(spark, sf_dir, "part").select("p_brand", F.col("p_retailprice").alias("v"))
-    w = Window.partitionBy("p_brand")
-    top = df.withColumn("k", F.row_number().over(w.orderBy(F.col("v").desc()))).filter("k <= 3").groupBy("p_brand").agg(F.max(F.when(F.col("k") == 3, F.col("v"))).alias("large3"))
-    low = df.withColumn("k", F.row_number().over(w.orderBy("v"))).filter("k <= 2").groupBy("p_brand").agg(F.max(F.when(F.col("k") == 2, F.col("v"))).alias("small2"))
-    return top.join(low, "p_brand")
+    """LARGE and SMALL of each group, by the places of values in buckets, so no group is held whole."""
+    sheet = Sheet(read(spark, sf_dir, "part").select("p_brand", "p_retailprice"), {"A": "p_retailprice"}, within=["p_brand"])
+    return sheet.summary({"large3": "=LARGE(A:A,3)", "small2": "=SMALL(A:A,2)"}).select("p_brand", "large3", "small2")

@@ -22,9 +22,11 @@ def safe_link(target: str) -> bool:
     return plain.startswith(("http://", "https://", "mailto:"))
 
 
-def render(overlay: DataFrame, workbook_id: str, sheet: str) -> str:
-    """Uncomputed cells show a warning sign and their reason, never a number."""
-    rows = overlay.filter((overlay["workbook_id"] == workbook_id) & (overlay["sheet"] == sheet) & (overlay["row"] <= MOST_ROWS) & (overlay["col"] <= MOST_COLS)).orderBy("row", "col").limit(MOST_CELLS).collect()
+def render(overlay: DataFrame, workbook_id: str, sheet: str, rows_shown: int = MOST_ROWS, cols_shown: int = MOST_COLS) -> str:
+    """Uncomputed cells show a warning sign and their reason, never a number; a caption says when cells are not shown."""
+    own = overlay.filter((overlay["workbook_id"] == workbook_id) & (overlay["sheet"] == sheet))
+    rows = own.filter((own["row"] <= rows_shown) & (own["col"] <= cols_shown)).orderBy("row", "col").limit(MOST_CELLS).collect()
+    cut = own.limit(len(rows) + 1).count() > len(rows)
     grid = {(r["row"], r["col"]): r for r in rows}
     height, width = max((r for r, _ in grid), default=0), max((c for _, c in grid), default=0)
     out = ["<table><thead><tr><th></th>" + "".join(f"<th>{column_name(c)}</th>" for c in range(1, width + 1)) + "</tr></thead><tbody>"]
@@ -39,5 +41,5 @@ def render(overlay: DataFrame, workbook_id: str, sheet: str) -> str:
             else:
                 line.append(f'<td class="{x["provenance"]}">{html.escape(shown(x["kind"], x["number"], x["text"], x["bool"], x["err"]))}</td>')
         out.append(f"<tr><th>{r}</th>{''.join(line)}</tr>")
-    note = "<caption>cut: more cells than are shown</caption>" if len(rows) == MOST_CELLS else ""
+    note = "<caption>cut: more cells than are shown</caption>" if cut else ""
     return "".join(out).replace("<thead>", note + "<thead>", 1) + "</tbody></table>"

@@ -153,13 +153,22 @@ def read_facts(workbook_id: str, data: bytes) -> tuple:
     return workbook_id, [n for n, _ in p.sheets], names, p.date1904, p.full_calc, p.iterative, p.calc_chain, p.writer
 
 
-def _cells(frames):
+def read_context(workbook_id: str, data: bytes):
+    """Rows of kind ``name`` and ``1904``, in the shape of cells: what holds for the whole workbook."""
+    package, blank = Package(data), spread(None)
+    for name, formula, sheet in package.names:
+        yield (workbook_id, -1 if sheet is None else sheet, None, 0, 0, "name", blank[1], name, *blank[3:], formula, False, False, False)
+    if package.date1904:
+        yield (workbook_id, -1, None, 0, 0, "1904", *blank[1:], None, False, False, False)
+
+
+def _cells(frames, context: bool = False):
     import pandas as pd
 
     columns = [c.split()[0] for c in CELLS.split(", ")]
     for pdf in frames:
         for path, data in zip(pdf["path"], pdf["content"]):
-            rows = []
+            rows = [*read_context(path, bytes(data))] if context else []
             for row in read_cells(path, bytes(data)):
                 rows.append(row)
                 if len(rows) == 50_000:
@@ -186,6 +195,11 @@ def cells(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(_cells, CELLS)
 
 
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """As ``cells``, with rows for the workbooks' defined names and calendars."""
+    return _files(spark, path).mapInPandas(lambda frames: _cells(frames, True), CELLS)
+
+
 def workbooks(spark: SparkSession, path: str) -> DataFrame:
     """A row of facts for each .xlsx file below a path."""
     return _files(spark, path).mapInPandas(_facts, FACTS)

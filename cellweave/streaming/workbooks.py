@@ -22,7 +22,7 @@ def evaluate_arrivals(spark: SparkSession, folder: str, target: str, checkpoint:
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.xlsx").load(folder).select("path", "content")
 
     def handle(batch, number: int) -> None:
-        cells = shipped(batch).mapInPandas(_cells, CELLS)
+        cells = shipped(batch).mapInPandas(lambda frames: _cells(frames, True), CELLS)  # with their names and calendars
         evaluate_workbooks(cells, now=now).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

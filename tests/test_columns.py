@@ -6,7 +6,7 @@ import random
 import pytest
 
 from cellweave.formula.values import Err, Refusal
-from cellweave.operators import table
+from cellweave.operators import ordered, table
 from cellweave.operators.book import Book
 from cellweave.operators.table import Sheet
 
@@ -124,8 +124,9 @@ def test_within_groups(spark):
     assert all(r.d == 1 + sum(g == r.g and x > r.x for _, g, x in rows) for r in ranks)
 
 
-def test_no_window_runs_in_one_task(spark):
+def test_no_window_runs_in_one_task(spark, monkeypatch):
     """Plans of running, sliding and neighbouring ranges hold no exchange of raw rows to a single partition."""
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 300)
     df = spark.range(2000).selectExpr("id as k", "cast(id as double) as x")
     sheet = Sheet(df, {"A": "k", "B": "x"}, order=["k"])
     for f in ("=SUM($B$1:B1)", "=AVERAGE(B1:B3)", "=B2-B1", "=RANK(B1,B:B)", "=LARGE(B:B,3)"):
