@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import contextmanager
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,29 @@ class Typed:
         return F.lit(float(self.constant) if self.kind == "num" else self.constant)
 
 
+#: Columns to be made first while a formula becomes a column of a sheet; none are collected elsewhere.
+_lets: list[tuple[str, Column]] | None = None
+
+
+@contextmanager
+def letting():
+    """Collects the columns that ``let`` names meanwhile."""
+    global _lets
+    before, _lets = _lets, []
+    try:
+        yield _lets
+    finally:
+        _lets = before
+
+
+def let(value: Column) -> Column:
+    """A value that is used more than once: a column of its own where columns are collected, so it is computed once."""
+    if _lets is None:
+        return value
+    _lets.append((f"_let{len(_lets)}", value))
+    return F.col(_lets[-1][0])
+
+
 def _lit(v) -> Typed:
     return Typed(None, "bool" if isinstance(v, bool) else "text" if isinstance(v, str) else "num", None, v)
 
@@ -539,12 +564,12 @@ def _nums(*xs: Typed) -> list[Typed]:
 
 
 def pmt_column(r, n, pv, fv, due) -> Column:
-    g = F.pow(1 + r, n)
+    g = let(F.pow(1 + r, n))
     return F.when(r == 0, F.try_divide(-(pv + fv), n)).otherwise(F.try_divide(-r * (pv * g + fv), (1 + r * due) * (g - 1)))
 
 
 def fv_column(r, n, payment, pv, due) -> Column:
-    g = F.pow(1 + r, n)
+    g = F.pow(1 + r, n)  # also within folds over periods, which cannot name it
     return F.when(r == 0, -(pv + payment * n)).otherwise(-(pv * g + F.try_divide(payment * (1 + r * due) * (g - 1), r)))
 
 
@@ -552,38 +577,38 @@ def fv_column(r, n, payment, pv, due) -> Column:
 def _pmt(r, n, pv, fv=_lit(0.0), due=_lit(0.0)):
     r, n, pv, fv, due = _nums(r, n, pv, fv, due)
     t = F.when(due.value != 0, 1.0).otherwise(0.0)
-    return finite(pmt_column(r.value, n.value, pv.value, fv.value, t), r, n, pv, fv, due, when_error(n.value == 0, "#NUM!"))
+    return finite(let(pmt_column(r.value, n.value, pv.value, fv.value, t)), r, n, pv, fv, due, when_error(n.value == 0, "#NUM!"))
 
 
 @compiles("FV")
 def _fv(r, n, p, pv=_lit(0.0), due=_lit(0.0)):
     r, n, p, pv, due = _nums(r, n, p, pv, due)
-    return finite(fv_column(r.value, n.value, p.value, pv.value, F.when(due.value != 0, 1.0).otherwise(0.0)), r, n, p, pv, due)
+    return finite(let(fv_column(r.value, n.value, p.value, pv.value, F.when(due.value != 0, 1.0).otherwise(0.0))), r, n, p, pv, due)
 
 
 @compiles("PV")
 def _pv(r, n, p, fv=_lit(0.0), due=_lit(0.0)):
     r, n, p, fv, due = _nums(r, n, p, fv, due)
-    t, g = F.when(due.value != 0, 1.0).otherwise(0.0), F.pow(1 + r.value, n.value)
+    t, g = F.when(due.value != 0, 1.0).otherwise(0.0), let(F.pow(1 + r.value, n.value))
     v = F.when(r.value == 0, -(fv.value + p.value * n.value)).otherwise(-(fv.value + F.try_divide(p.value * (1 + r.value * t) * (g - 1), r.value)) / g)
-    return finite(v, r, n, p, fv, due)
+    return finite(let(v), r, n, p, fv, due)
 
 
 @compiles("NPER")
 def _nper(r, p, pv, fv=_lit(0.0), due=_lit(0.0)):
     r, p, pv, fv, due = _nums(r, p, pv, fv, due)
     a = F.try_divide(p.value * (1 + r.value * F.when(due.value != 0, 1.0).otherwise(0.0)), r.value)
-    q = F.try_divide(a - fv.value, a + pv.value)
-    bad = F.when(r.value == 0, p.value == 0).otherwise(F.coalesce(q <= 0, F.lit(True)) | (r.value <= -1))
-    return finite(F.when(r.value == 0, F.try_divide(-(pv.value + fv.value), p.value)).when(~bad, F.log(q) / F.log1p(r.value)), r, p, pv, fv, due, when_error(bad, "#NUM!"))
+    q = let(F.try_divide(a - fv.value, a + pv.value))
+    bad = let(F.when(r.value == 0, p.value == 0).otherwise(F.coalesce(q <= 0, F.lit(True)) | (r.value <= -1)))
+    return finite(let(F.when(r.value == 0, F.try_divide(-(pv.value + fv.value), p.value)).when(~bad, F.log(q) / F.log1p(r.value))), r, p, pv, fv, due, when_error(bad, "#NUM!"))
 
 
 def _split(interest: bool):
     def build(r, k, n, pv, fv=_lit(0.0), due=_lit(0.0)):
         r, k, n, pv, fv, due = _nums(r, k, n, pv, fv, due)
         t = F.when(due.value != 0, 1.0).otherwise(0.0)
-        payment = pmt_column(r.value, n.value, pv.value, fv.value, t)
-        part = F.when((t == 1) & (k.value == 1), 0.0).otherwise(fv_column(r.value, k.value - 1, payment, pv.value, t) * r.value)
+        payment = let(pmt_column(r.value, n.value, pv.value, fv.value, t))
+        part = let(F.when((t == 1) & (k.value == 1), 0.0).otherwise(fv_column(r.value, k.value - 1, payment, pv.value, t) * r.value))
         return finite(part if interest else payment - part, r, k, n, pv, fv, due, when_error((k.value < 1) | (k.value > n.value), "#NUM!"))
 
     return build

@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from ..formula.syntax import Binary, Call, Lit, Missing, Percent, Ref, Unary, parse, rebuilt, unparse, walk
 from ..formula.values import Err, Refusal, column_name
 from ..functions.aggregates import split_criterion
-from ..functions.columns import COMPILERS, Typed, _fault, _lit, arithmetic, boolean, compared, error_of, finite, guarded, number, parsed_number, text
+from ..functions.columns import COMPILERS, Typed, _fault, _lit, arithmetic, boolean, compared, error_of, finite, guarded, letting, number, parsed_number, text
 from ..functions.library import lookup
 from ..functions.scalars import has_wildcard
 from .ordered import approximate_lookup, numbered, order_key, unsorted
@@ -465,7 +465,8 @@ class Sheet:
         back, ahead = sheet._reach(tree)
         if (back or ahead) and not self.within:
             sheet = sheet._blocked(back, ahead)
-        t = sheet._tree(tree)
+        with letting() as lets:
+            t = sheet._tree(tree)
         value = F.lit(None).cast("double") if t.kind == "err" else t.value.cast("double") if t.kind == "num" else t.value
         errors = dict(self.errors)
         made = {name: value}
@@ -473,7 +474,10 @@ class Sheet:
             # the error is computed beside the value, from the columns that were there before
             made[f"{name}_error"] = t.error
             errors[name] = f"{name}_error"
-        df = sheet.df.withColumns(made)
+        df = sheet.df
+        for named, column in lets:
+            df = df.withColumn(named, column)
+        df = df.withColumns(made).drop(*[named for named, _ in lets])
         if sheet.blocks:
             df = df.filter(F.col("_block") == F.floor(F.col("_n") / sheet.blocks[0])).drop("_block", "_n")
         return replace(self, df=df.drop(*hidden), columns={**self.columns, letter: name}, errors=errors, found={}, blocks=())
