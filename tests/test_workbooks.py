@@ -211,3 +211,23 @@ def test_names_and_the_1904_calendar(spark, tmp_path):
     got = {(r.workbook_id[-8:], r.col): r.err or r.number for r in ops.evaluate_files(spark, str(tmp_path)).collect()}
     assert [got["old.xlsx", c] for c in range(1, 6)] == [2, 1904, 1, 5, 59]
     assert [got["new.xlsx", c] for c in range(1, 6)] == ["#NAME?", 1900, 1463, 6, 60]
+    # files that arrive bring their names and calendars along
+    from cellweave.streaming.workbooks import evaluate_arrivals
+
+    evaluate_arrivals(spark, str(tmp_path), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    arrived = {(r.workbook_id[-8:], r.col): r.err or r.number for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert arrived == got
+
+
+def test_inspection_and_lists_without_limits(spark, tmp_path):
+    rows = "".join(f'<row r="{r}"><c r="A{r}"><v>{r}</v></c><c r="B{r}"><f>SUM($A$1:A{r})</f></c></row>' for r in range(1, 701)) + '<row r="701"><c r="A701"><f>OFFSET(A1,1,0)</f><v>2</v></c><c r="B701"><f t="array">SUM(A1:A2*2)</f></c></row>'
+    (tmp_path / "w.xlsx").write_bytes(package(rows))
+    cells = xlsx.cells(spark, str(tmp_path))
+    found = ops.inspect_workbooks(cells).first()
+    assert (found.cells, found.formulas, found.array_formulas, found.uncached, found.unsupported, found.fully_covered) == (1402, 702, 1, 701, 1, False)
+    assert ops.precedents(cells).filter("row = 700 and col = 2").count() == 700 and ops.precedents(cells, 5).filter("row = 700 and col = 2").count() == 5
+    overlay = ops.evaluate_workbooks(cells).cache()
+    book = overlay.first().workbook_id
+    assert "cut:" in render(overlay, book, "S", rows_shown=10) and "cut:" in render(overlay, book, "S", cols_shown=1) and "cut:" not in render(overlay, book, "S")
+    typed = {f"{c}{r}": v for r in range(1, 260) for c, v in (("A", r), ("B", f"=A{r}*2"), ("C", f"=A{r}*2") , ("D", -1.0), ("E", f"=A{r}*2"))}
+    assert len(grid(**{k: (v.replace("A", "$A") if isinstance(v, str) else v) for k, v in typed.items()})) == 259
