@@ -11,9 +11,9 @@ from ..functions.registry import implemented
 def capabilities(spark: SparkSession) -> DataFrame:
     """function, least and most arguments (null: any number), volatile, lazy, compiled, and the reason of a refusal."""
     from ..functions.columns import COMPILERS
-    from .table import _AGGREGATES, _CONDITIONAL
+    from .table import FORMS
 
-    compiled = set(COMPILERS) | set(_AGGREGATES) | set(_CONDITIONAL) | {"AND", "OR", "XOR", "NPV"}
+    compiled = set(COMPILERS) | FORMS
     rows = []
     for name in sorted([*implemented(), *refused()]):
         f = lookup(name)

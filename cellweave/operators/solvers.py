@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..formula.values import Failed
-from ..functions.aggregates import normal_cdf, normal_inverse, normal_pdf
 from ..functions.finance import PROBES, root
 
 
@@ -58,11 +57,3 @@ def rates(frames):
             irr[mixed], xirr[mixed] = roots(v[mixed], periods[mixed]), roots(v[mixed], days[mixed])
             left = (v / (1 + irr)[:, None] ** periods).sum(1).round(4)
             yield pd.DataFrame({"o_custkey": pdf["o_custkey"].to_numpy(), "irr": irr, "xirr": xirr, "left_over": left}).astype(object).where(lambda d: d.notna(), None)
-
-
-def normal(frames):
-    """Distribution, density and inverse of z; back is z again."""
-    for pdf in frames:
-        z = pdf["z"].tolist()
-        cdf = list(map(normal_cdf, z))
-        yield pdf.assign(cdf=cdf, pdf=list(map(normal_pdf, z)), back=list(map(normal_inverse, cdf)))

@@ -48,6 +48,8 @@ MOST_TOP = 10_000
 #: Rows of a window block; a block also holds the rows around it that its own rows look at.
 WINDOW_ROWS = 200_000
 _CONDITIONAL = {"SUMIFS": "SUM", "AVERAGEIFS": "AVERAGE", "MAXIFS": "MAX", "MINIFS": "MIN", "COUNTIFS": "COUNT", "SUMIF": "SUM", "AVERAGEIF": "AVERAGE", "COUNTIF": "COUNT"}
+#: Names with a table form of their own, beside those of single cells in ``COMPILERS``.
+FORMS = {*_SUMMARIES, *_CONDITIONAL, *_LOOKUPS, "RANK", "RANK.EQ", "NPV", "TODAY", "NOW", "ISREF", "ROWS", "COLUMN", "COLUMNS", "AREAS"}
 
 
 def _aggregated(name: str, x: Column, window=None) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.finance import PROBES
 from ..operators.cells import shipped
-from ..operators.solvers import normal, rates
+from ..operators.solvers import rates
 from .common import filled, r6, read, s6
 
 QUERIES, SQL = {}, {}
@@ -60,9 +61,23 @@ def finance_npv_xnpv(spark, sf_dir):
     return out.select("o_custkey", two("npv").alias("npv"), two("xnpv").alias("xnpv"), F.when(n > 1, r6(F.pow(F.try_divide(F.col("g"), F.col("c")), F.try_divide(F.lit(1.0), n - 1)) - 1)).alias("mirr"))
 
 
-@query(None)
+#: The rates that are looked for by brackets; beyond them a root may be found or not, so the query leaves such rates out.
+_PROBED = f"CASE WHEN {{0}} BETWEEN {PROBES[0]} AND {PROBES[-1]} THEN {{0}} END"
+
+
+@query(f"""
+WITH RECURSIVE f AS (SELECT o_custkey, o_totalprice * CASE WHEN row_number() OVER w = 1 THEN -3 ELSE 1 END AS v, row_number() OVER w AS k, (CAST(o_orderdate AS DATE) - first_value(CAST(o_orderdate AS DATE)) OVER w) / 365.0::DOUBLE AS years
+                     FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+b AS (SELECT o_custkey, list(v ORDER BY k) AS v, list(CAST(k - 1 AS DOUBLE) ORDER BY k) AS p, list(years ORDER BY k) AS y FROM f GROUP BY o_custkey),
+g AS (SELECT o_custkey, v, p AS t, 'irr' AS kind FROM b WHERE len(v) > 1 UNION ALL SELECT o_custkey, v, y, 'xirr' FROM b WHERE len(v) > 1),
+s AS (SELECT o_custkey, kind, v, t, -10.0::DOUBLE AS low, 12.0::DOUBLE AS high, 0 AS n FROM g
+      UNION ALL SELECT o_custkey, kind, v, t, CASE WHEN here > 0 THEN (low + high) / 2 ELSE low END, CASE WHEN here > 0 THEN high ELSE (low + high) / 2 END, n + 1
+      FROM (SELECT *, list_sum(list_transform(range(1, len(v) + 1), lambda i: v[i] * exp(-(low + high) / 2 * t[i]))) AS here FROM s WHERE n < 60)),
+r AS (SELECT o_custkey, max(exp(low) - 1) FILTER (kind = 'irr') AS irr, max(exp(low) - 1) FILTER (kind = 'xirr') AS xirr FROM s WHERE n = 60 GROUP BY o_custkey)
+SELECT b.o_custkey, {s6(_PROBED.format('irr'))} AS irr, {s6(_PROBED.format('xirr'))} AS xirr, CASE WHEN irr IS NOT NULL THEN 0.0::DOUBLE END AS left_over FROM b LEFT JOIN r USING (o_custkey)""")
 def finance_irr_rate(spark, sf_dir):
-    """IRR and XIRR by a bracketed root of each customer's flows; left_over is the value at that rate, about 0."""
+    """IRR and XIRR by a bracketed root of each customer's flows, one outflow and then inflows, so there is one root at most;
+    left_over is the value at the rate, 0 to the cent. Rates beyond the probes come as null. The SQL halves the logarithm of growth."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -71,7 +86,8 @@ def finance_irr_rate(spark, sf_dir):
     df = df.select("o_custkey", "k", "days", (F.col("o_totalprice") * F.when(F.col("k") == 1, -3.0).otherwise(1.0)).alias("v"))
     # one customer's flows are one argument of IRR, so they come together; batches hold many customers
     flows = df.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("k", "v", "days"))).alias("flows"))
-    return shipped(flows).mapInPandas(rates, "o_custkey bigint, irr double, xirr double, left_over double")
+    found = shipped(flows).mapInPandas(rates, "o_custkey bigint, irr double, xirr double, left_over double")
+    return found.select("o_custkey", *[r6(F.expr(_PROBED.format(n))).alias(n) for n in ("irr", "xirr")], F.abs("left_over").cast("decimal(30,2)").cast("double").alias("left_over"))
 
 
 @query(f"""
@@ -112,13 +128,19 @@ def loan_schedule(spark, sf_dir):
     return one.filter("x.period > 0").select("x.period", F.col("x.closing").cast("double").alias("closing"), F.col("x.interest").cast("double").alias("interest"))
 
 
-@query(None)
+@query(f"""
+WITH t AS (SELECT p_partkey, (p_retailprice - (SELECT avg(p_retailprice) FROM part)) / (SELECT stddev_pop(p_retailprice) FROM part) AS z FROM part),
+d AS (SELECT p_partkey, z, exp(-z * z / 2) / sqrt(2 * pi()) AS density FROM t),
+c AS (SELECT *, 0.5 + density * list_sum(list_transform(range(0, 80), lambda n: sign(z) * exp((2 * n + 1) * ln(greatest(abs(z), 1e-30)) - (n + 1) * ln(2) - lgamma(n + 1.5) + ln(pi()) / 2))) AS below FROM d)
+SELECT p_partkey, {s6('z')} AS z, {s6('below')} AS cdf, {s6('density')} AS pdf, {s6('z')} AS back, {s6('1000 + 50 * z')} AS scaled, {s6('density / 3')} AS thinner FROM c""")
 def norm_dist_inv(spark, sf_dir):
-    """NORM.S.DIST, its density and NORM.S.INV over standardised prices; back is z again."""
+    """NORM.S.DIST, its density, NORM.S.INV, NORM.INV and NORM.DIST over standardised prices; back is z again. The SQL sums the series."""
     df = read(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     stats = df.agg(F.avg("p_retailprice").alias("m"), F.stddev_pop("p_retailprice").alias("s"))
     z = (F.col("p_retailprice") - stats.select("m").scalar()) / stats.select("s").scalar()
-    return shipped(df.select("p_partkey", z.alias("z"))).mapInPandas(normal, "p_partkey bigint, z double, cdf double, pdf double, back double")
+    names = {"cdf": "=NORM.S.DIST(A1,TRUE)", "pdf": "=NORM.S.DIST(A1,FALSE)", "back": "=NORM.S.INV(B1)", "scaled": "=NORM.INV(NORM.DIST(A1*3+7,7,3,TRUE),1000,50)", "thinner": "=NORM.DIST(A1*3+7,7,3,FALSE)"}
+    df = filled(df.select("p_partkey", z.alias("z")), {"A": "z"}, {n: (chr(66 + i), f) for i, (n, f) in enumerate(names.items())}, ["p_partkey", "z"])
+    return df.select("p_partkey", r6("z").alias("z"), *[r6(n).alias(n) for n in names])
 
 
 @query(f"""

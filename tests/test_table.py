@@ -81,6 +81,16 @@ def test_capabilities():
     assert set(COMPILERS) <= set(implemented())
 
 
+def test_normal_distribution_to_the_tails(spark):
+    """The compiled distribution against the library's complementary error function, and the inverse against the distribution."""
+    at = [k / 8 for k in range(-296, 297)]
+    near = [10.0**-k for k in range(1, 300, 7)] + [k / 200 for k in range(1, 200)] + [1 - 2.0**-k for k in range(2, 50, 3)]
+    for z, below in Sheet(spark.createDataFrame([(x,) for x in at], "z double"), {"A": "z"}).add("B", "b", "=NORM.S.DIST(A1,TRUE)").df.select("z", "b").collect():
+        assert math.isclose(below, math.erfc(-z / math.sqrt(2)) / 2, rel_tol=1e-12), z
+    for p, z in Sheet(spark.createDataFrame([(x,) for x in near], "p double"), {"A": "p"}).add("B", "b", "=NORM.S.INV(A1)").df.select("p", "b").collect():
+        assert math.isclose(math.erfc(-z / math.sqrt(2)) / 2, p, rel_tol=1e-11), p
+
+
 # ---- typed mode gives what cell mode gives
 
 FORMULAS = [
@@ -93,6 +103,7 @@ FORMULAS = [
     "CHAR(A1+64)", "CHAR(233)", "UNICHAR(B1+9731)", "UNICODE(C1)", "CODE(C1)", "SEARCH(\"?b\",C1)", "SEARCH(\"A\",C1,2)", "FIXED(A1*1000,1)", "FIXED(A1,0,TRUE)", "DOLLAR(A1*1000)", "TEXTJOIN(\"-\",TRUE,C1,\"\",B1)", "NUMBERVALUE(C1)", "NUMBERVALUE(\"1.234,5\",\",\",\".\")",
     "TEXT(A1,\"0.00\")", "TEXT(A1,\"#,##0.0\")", "TEXT(B1/8,\"0.0%\")", "TEXT(E1,\"yyyy-mm-dd\")", "TEXT(E1,\"mmm-yy\")", "TEXT(B1,\"0000\")", "TEXT(C1,\"0.0\")", "TIME(B1,B1*7,30)", "HOUR(E1+0.7)", "MINUTE(E1+0.7123)", "SECOND(E1+0.7123)", "DATEVALUE(\"2026-7-25\")", "DATEVALUE(C1)",
     "TIMEVALUE(\"13:45\")", "TIMEVALUE(C1)", "FACT(B1)", "FACT(A1)", "COMBIN(9,B1)", "COMBIN(B1,9)", "CEILING.MATH(A1)", "CEILING.MATH(A1,2,1)", "FLOOR.MATH(A1,0.5)", "FLOOR.MATH(A1,2,1)", "GCD(B1*12,18)", "LCM(B1,6)", "CUMIPMT(B1/100,12,1000,2,5,0)", "CUMPRINC(B1/100,12,1000,2,5,1)", "NPV(B1/100,A1,10,-5)",
+    "NORM.S.DIST(A1,TRUE)", "NORM.S.DIST(A1,D1)", "NORM.S.DIST(-B1,FALSE)", "NORMSDIST(-A1)", "NORM.DIST(A1,B1,2,TRUE)", "NORM.DIST(A1,1,B1,FALSE)", "NORM.DIST(C1,1,2,TRUE)", "NORM.S.INV(B1/8)", "NORM.S.INV(A1)", "NORMSINV(B1/1000000)", "NORM.INV(B1/8,A1,2)", "NORM.INV(0.975,A1,B1)",
 ]
 VALUES = [(12.5, 2.0, "abc", True, 45_123.0), (0.0, 0.0, "", False, 46_081.0), (-7.25, 3.0, "aab a", True, 45_351.0), (1.005, 5.0, " Ab  c ", False, 45_292.0), (2.675, 1.0, "12", None, 45_688.0), (None, 4.0, None, True, 45_199.0), (1e17, 7.0, "x-y z", False, 46_022.0), (0.1, -2.0, "5%", True, 45_657.0)]
 
