@@ -36,7 +36,7 @@ _OF_NOTHING_0 = ("SUM", "MIN", "MAX", "SUMSQ", "PRODUCT")
 #: Whole-column aggregates that need the order of values, and those of two columns.
 _RANKED = ("LARGE", "SMALL", "PERCENTILE", "PERCENTILE.INC", "PERCENTILE.EXC", "QUARTILE", "QUARTILE.INC", "QUARTILE.EXC", "MEDIAN")
 _PAIRED = ("CORREL", "RSQ", "SLOPE", "INTERCEPT", "FORECAST", "FORECAST.LINEAR")
-_SUMMARIES = (*_AGGREGATES, *_RANKED, *_PAIRED, "COUNTA", "COUNTBLANK", "AVERAGEA", "MINA", "MAXA", "AND", "OR", "XOR", "SUBTOTAL", "SUMPRODUCT")
+_SUMMARIES = (*_AGGREGATES, *_RANKED, *_PAIRED, "COUNTA", "COUNTBLANK", "AVERAGEA", "MINA", "MAXA", "AND", "OR", "XOR", "SUBTOTAL", "SUMPRODUCT", "NPV", "XNPV", "MIRR")
 #: SUBTOTAL's codes (2 and 3 count numbers).
 _SUBTOTAL = {1: "AVERAGE", 2: "COUNT", 3: "COUNT", 4: "MAX", 5: "MIN", 6: "PRODUCT", 7: "STDEV", 8: "STDEV.P", 9: "SUM", 10: "VAR", 11: "VAR.P"}
 _LOOKUPS = ("VLOOKUP", "XLOOKUP", "LOOKUP", "MATCH", "XMATCH", "INDEX")
@@ -49,7 +49,7 @@ MOST_TOP = 10_000
 WINDOW_ROWS = 200_000
 _CONDITIONAL = {"SUMIFS": "SUM", "AVERAGEIFS": "AVERAGE", "MAXIFS": "MAX", "MINIFS": "MIN", "COUNTIFS": "COUNT", "SUMIF": "SUM", "AVERAGEIF": "AVERAGE", "COUNTIF": "COUNT"}
 #: Names with a table form of their own, beside those of single cells in ``COMPILERS``.
-FORMS = {*_SUMMARIES, *_CONDITIONAL, *_LOOKUPS, "RANK", "RANK.EQ", "NPV", "TODAY", "NOW", "ISREF", "ROWS", "COLUMN", "COLUMNS", "AREAS"}
+FORMS = {*_SUMMARIES, *_CONDITIONAL, *_LOOKUPS, "RANK", "RANK.EQ", "TODAY", "NOW", "ISREF", "ROWS", "COLUMN", "COLUMNS", "AREAS"}
 
 
 def _aggregated(name: str, x: Column, window=None) -> Column:
@@ -361,6 +361,23 @@ class Sheet:
             flat = (F.coalesce(F.var_pop(x_), F.lit(0.0)) == 0) | ((F.coalesce(F.var_pop(y_), F.lit(0.0)) == 0) if name in ("CORREL", "RSQ") else F.lit(False))
             error = F.coalesce(_first_error(F.col(ey_), order), _first_error(F.col(ex_), order), F.when(flat, "#DIV/0!"))
             return source, (columns, value, error), "num", True
+        if name in ("NPV", "MIRR"):
+            return source, source._flows(name, args, rowwise), "num", True
+        if name == "XNPV":
+            rate = self._rates(name, args[:1])[0]
+            if not all(map(_is_column, args[1:])):
+                raise Refusal("REF_SHAPE", "XNPV takes two whole columns here", name)
+            source._ordered()
+            v, d = (rowwise._column(rowwise._named(a.left)) for a in args[1:])
+            if d.kind != "num":
+                raise Refusal("ARG_UNSUPPORTED", "XNPV's dates must be numbers to have a column form", name)
+            flow = v.value if v.kind == "num" else F.lit(None).cast("double")
+            day = F.floor(F.coalesce(d.value, F.lit(0.0))).cast("double")
+            columns = {x_: flow, y_: day, e_: F.coalesce(error_of(v, d, F.when(flow.isNull(), "#VALUE!")), F.when(day < 0, "#NUM!"))}
+            first = F.min_by(F.col(y_), F.struct(*[F.col(f"`{o}`") for o in order]))
+            value = F.pow(F.lit(1 + rate), first / 365) * F.sum(F.col(x_) * F.pow(F.lit(1 + rate), -F.col(y_) / 365)) if rate > -1 else F.max(F.lit(None).cast("double"))
+            bad = F.when((F.count(F.lit(1)) == 0) | (F.min(y_) < first) | F.lit(rate <= -1), "#NUM!")
+            return source, (columns, value, F.coalesce(_first_error(F.col(e_), order), bad, F.when(F.isnan(value) | (F.abs(value) == math.inf), "#NUM!"))), "num", True
         if not _is_column(args[0]):
             raise Refusal("REF_SHAPE", f"{name} has a column form over one whole column", name)
         if len(args) != (2 if name in _RANKED and name != "MEDIAN" else 1):
@@ -391,6 +408,43 @@ class Sheet:
         error = F.max(F.lit(None).cast("string")) if name == "COUNT" else F.coalesce(_first_error(F.col(e_), order), F.when(value.isNull(), _EMPTY[name]) if name in _EMPTY else F.lit(None).cast("string"), F.when(F.isnan(value) | (F.abs(value) == math.inf), "#NUM!"))
         return source, ({x_: seen, e_: t.error}, value, error), "num", name != "COUNT"
 
+    @staticmethod
+    def _rates(name: str, args) -> list[float]:
+        rates = [_constant(a) for a in args]
+        if not all(isinstance(r, (int, float)) for r in rates):
+            raise Refusal("ARG_UNSUPPORTED", f"{name}'s rates must be constants to have a column form", name)
+        return [float(r) for r in rates]
+
+    def _flows(self, name: str, args, rowwise: "Sheet") -> DataFrame:
+        """NPV and MIRR of the numbers of a column in the order of rows: numbered in buckets, then one sum for each group."""
+        column = args[1 if name == "NPV" else 0]
+        if not _is_column(column) or name == "NPV" and len(args) != 2:
+            raise Refusal("REF_SHAPE", f"{name} has a column form over one whole column", name)
+        rates = self._rates(name, args[:1] if name == "NPV" else args[1:])
+        self._ordered()
+        t = rowwise._column(rowwise._named(column.left))
+        rows = self._rows({"_x": t.value if t.kind == "num" else F.lit(None).cast("double"), "_e": t.error})
+        keys, x, k = [F.col(f"`{g}`") for g in self.within], F.col("_x"), F.col("_place").cast("double")
+        wanted = rows.groupBy(*[c.alias(f"_t{i}") for i, c in enumerate(keys)]).agg(_first_error(F.col("_e"), self.order).alias("_first"))
+        placed = numbered(rows.filter("_x is not null"), self.order, "_place", self.within)
+        growth = [F.lit(1 + r) for r in rates]
+        if -1 in rates:
+            value, bad = F.max(F.lit(None).cast("double")), F.lit(True)
+        elif name == "NPV":
+            value, bad = F.sum(x * F.pow(growth[0], -(k + 1))), F.lit(False)
+        else:
+            m = F.count("_x").cast("double")
+            gains = F.sum(F.when(x > 0, x * F.pow(growth[1], -k))) * F.pow(growth[1], m - 1)
+            value = F.pow(F.try_divide(gains, -F.sum(F.when(x < 0, x * F.pow(growth[0], -k)))), F.try_divide(F.lit(1.0), m - 1)) - 1
+            bad = (m < 2) | (F.count_if(x > 0) == 0) | (F.count_if(x < 0) == 0)
+        sums = placed.groupBy(*[c.alias(f"_u{i}") for i, c in enumerate(keys)]).agg(value.alias("value"), bad.alias("_bad"))
+        met = wanted.join(sums, [F.col(f"_t{i}").eqNullSafe(F.col(f"_u{i}")) for i in range(len(keys))], "left") if keys else wanted.join(sums)
+        value = F.col("value") if name == "MIRR" else F.coalesce("value", F.when(~F.coalesce("_bad", F.lit(-1 in rates)), 0.0))  # no numbers: 0
+        fault = F.when(F.coalesce("_bad", F.lit(name == "MIRR" or -1 in rates)), "#DIV/0!").when(F.isnan(value) | (F.abs(value) == math.inf), "#NUM!")
+        # a rate of -1 is a fault before any flow is looked at
+        error = fault if name == "NPV" and -1 in rates else F.coalesce("_first", fault)
+        return met.select(*[F.col(f"_t{i}").alias(g) for i, g in enumerate(self.within)], F.when(error.isNull(), value).alias("value"), error.alias("error"))
+
     def summary(self, formulas: dict[str, str]) -> DataFrame:
         """A row for each group of ``within``, or one row: a column for each formula over whole columns, and ``name_error`` beside it
         where errors can arise. All aggregates that need no order of values come from one aggregation."""

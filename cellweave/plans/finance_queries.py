@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.finance import PROBES
 from ..operators.cells import shipped
 from ..operators.solvers import rates
-from .common import filled, r6, read, s6
+from ..operators.table import Sheet
+from .common import filled, r6, read, s6, serial
 
 QUERIES, SQL = {}, {}
 
@@ -49,16 +50,10 @@ def finance_npv_xnpv(spark, sf_dir):
     """NPV, XNPV and MIRR of each customer's flows, in date order."""
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    day = F.to_date("o_orderdate")
-    df = read(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.row_number().over(w).alias("k"), F.datediff(day, F.min(day).over(Window.partitionBy("o_custkey"))).alias("days"), F.count(F.lit(1)).over(Window.partitionBy("o_custkey")).alias("n"))
-    df = df.withColumn("v", F.col("o_totalprice") * F.when(F.col("k") == 1, -3.0).otherwise(1.0))
-    v, k, n = F.col("v"), F.col("k"), F.col("n")
-    gains = F.sum(F.when(v > 0, v * F.pow(F.lit(1.12), n - k)).otherwise(0.0))
-    costs = -F.sum(F.when(v < 0, v / F.pow(F.lit(1.1), k - 1)).otherwise(0.0))
-    out = df.groupBy("o_custkey").agg(F.sum(v / F.pow(F.lit(1.1), k)).alias("npv"), F.sum(v / F.pow(F.lit(1.1), F.col("days") / 365)).alias("xnpv"), gains.alias("g"), costs.alias("c"), F.max("n").alias("n"))
-    two = lambda c: F.col(c).cast("decimal(30,2)").cast("double")
-    return out.select("o_custkey", two("npv").alias("npv"), two("xnpv").alias("xnpv"), F.when(n > 1, r6(F.pow(F.try_divide(F.col("g"), F.col("c")), F.try_divide(F.lit(1.0), n - 1)) - 1)).alias("mirr"))
+    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) == 1
+    df = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", serial("o_orderdate").alias("day"), (F.col("o_totalprice") * F.when(first, -3.0).otherwise(1.0)).alias("v"))
+    out = Sheet(df, {"A": "v", "B": "day"}, order=["o_orderdate", "o_orderkey"], within=["o_custkey"]).summary({"npv": "=NPV(10%,A:A)", "xnpv": "=XNPV(10%,A:A,B:B)", "mirr": "=MIRR(A:A,10%,12%)"})
+    return out.select("o_custkey", *[F.col(n).cast("decimal(30,2)").cast("double").alias(n) for n in ("npv", "xnpv")], r6("mirr").alias("mirr"))
 
 
 #: The rates that are looked for by brackets; beyond them a root may be found or not, so the query leaves such rates out.

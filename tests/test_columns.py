@@ -32,6 +32,7 @@ WHOLE = [
     "SUM(B:B)", "SUM(G:G)", "COUNT(G:G)", "COUNTA(G:G)", "COUNTBLANK(B:B)", "COUNTBLANK(C:C)", "COUNTA(C:C)", "AVERAGE(B:B)", "MAX(G:G)", "MIN(B:B)", "PRODUCT(B:B)", "SUMSQ(B:B)", "MEDIAN(B:B)", "STDEV(B:B)", "VAR.P(B:B)", "SUM(C:C)", "AVERAGE(C:C)", "AVERAGEA(C:C)", "AVERAGEA(F:F)", "MAXA(F:F)",
     "MINA(C:C)", "LARGE(B:B,2)", "SMALL(B:B,3)", "LARGE(B:B,99)", "LARGE(G:G,1)", "PERCENTILE(B:B,0.3)", "PERCENTILE.EXC(B:B,0.3)", "PERCENTILE.EXC(B:B,0.001)", "QUARTILE(B:B,3)", "QUARTILE.EXC(B:B,1)", "CORREL(B:B,E:E)", "RSQ(B:B,E:E)", "SLOPE(B:B,E:E)", "INTERCEPT(B:B,E:E)", "FORECAST(E1,B:B,E:E)", "CORREL(B:B,G:G)",
     "SUMPRODUCT(B:B,E:E)", 'SUMPRODUCT((B:B>1)*(C:C<>"north")*1)', "SUMPRODUCT(G:G)", "SUBTOTAL(9,B:B)", "SUBTOTAL(6,B:B)", "SUBTOTAL(3,G:G)", "SUBTOTAL(1,G:G)", "AND(F:F)", "OR(F:F)", "XOR(F:F)", "AND(C:C)", "B1/SUM(B:B)", "SUM(T!A:A)*2",
+    "NPV(10%,B:B)", "NPV(0.07,E:E)", "NPV(-1,B:B)", "NPV(0.1,C:C)", "NPV(0.1,G:G)", "NPV(-150%,E:E)", "MIRR(B:B,10%,12%)", "MIRR(E:E,0.1,-0.2)", "MIRR(C:C,0.1,0.1)", "MIRR(A:A,0.1,0.1)", "MIRR(G:G,0.1,0.1)", "MIRR(E:E,-1,0.1)", "XNPV(0.1,A:A,A:A)", "XNPV(10%,B:B,A:A)", "XNPV(0.1,T!A:A,T!C:C)", "XNPV(0.1,A:A,E:E)", "XNPV(-1,A:A,A:A)", "XNPV(0.1,G:G,A:A)", "XNPV(0.1,C:C,A:A)",
 ]
 ROUND = ["SUM($B$1:B1)", "SUM($G$1:G1)", "COUNT($G$1:G1)", "AVERAGE($B$1:B1)", "MAX($B$1:B1)", "MIN($E$1:E1)", "PRODUCT($B$1:B1)", "SUM(B1:B3)", "SUM(G1:G2)", "AVERAGE(B1:B2)", "B2-B1", "IFERROR(G2,-1)", "SUM($B$1:B1)-B1+MAX(E1:E4)", "RANK(A1,A:A)", "RANK(A1,A:A,1)"]
 KEYED = [
