@@ -103,6 +103,7 @@ class Sheet:
     now: float | None = None
     found: dict = field(default_factory=dict)
     blocks: tuple = ()
+    placed: dict = field(default_factory=dict, repr=False, compare=False)
 
     # ---- columns
 
@@ -426,7 +427,10 @@ class Sheet:
         rows = self._rows({"_x": t.value if t.kind == "num" else F.lit(None).cast("double"), "_e": t.error})
         keys, x, k = [F.col(f"`{g}`") for g in self.within], F.col("_x"), F.col("_place").cast("double")
         wanted = rows.groupBy(*[c.alias(f"_t{i}") for i, c in enumerate(keys)]).agg(_first_error(F.col("_e"), self.order).alias("_first"))
-        placed = numbered(rows.filter("_x is not null"), self.order, "_place", self.within)
+        known = (id(self.df), rowwise._named(column.left), *self.order, None, *self.within)  # formulas of one column share its numbering
+        if known not in self.placed:
+            self.placed[known] = (self.df, numbered(rows.filter("_x is not null"), self.order, "_place", self.within))
+        placed = self.placed[known][1]
         growth = [F.lit(1 + r) for r in rates]
         if -1 in rates:
             value, bad = F.max(F.lit(None).cast("double")), F.lit(True)
