@@ -89,11 +89,14 @@ _CODES = {1: "avg(x)", 2: "count(x)", 3: "count(x)", 4: "max(x)", 5: "min(x)", 6
 
 @query("SELECT o_orderstatus, code, CAST(CAST(value AS DECIMAL(30,2)) AS DOUBLE) AS value FROM (" + " UNION ALL ".join(f"SELECT o_orderstatus, {k} AS code, CAST({sql} AS DOUBLE) AS value FROM (SELECT o_orderstatus, o_totalprice AS x FROM orders) GROUP BY o_orderstatus" for k, sql in _CODES.items()) + ")")
 def subtotal_codes(spark, sf_dir):
-    """SUBTOTAL's codes, all from one aggregation."""
-    sheet = Sheet(read(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice"), {"A": "o_totalprice"}, within=["o_orderstatus"]).add("B", "factor", "=1+A1/1E9")
-    df = sheet.summary({f"c{k}": f"=SUBTOTAL({k},{'B:B' if k == 6 else 'A:A'})" for k in _CODES})
+    """SUBTOTAL's codes, all from one aggregation. The sum is that of whole cents, exact up to 2^53 of them. Beyond decimal(30,2) a value has
+    no decimals to lose and stays as it is; a product beyond the doubles is #NUM!, a null here. There the SQL ends in an error."""
+    orders = read(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.round(F.col("o_totalprice") * 100).alias("cents"))
+    sheet = Sheet(orders, {"A": "o_totalprice", "C": "cents"}, within=["o_orderstatus"]).add("B", "factor", "=1+A1/1E9")
+    df = sheet.summary({f"c{k}": {6: "=SUBTOTAL(6,B:B)", 9: "=SUBTOTAL(9,C:C)/100"}.get(k, f"=SUBTOTAL({k},A:A)") for k in _CODES})
     long = df.select("o_orderstatus", F.explode(F.array(*[F.struct(F.lit(k).alias("code"), F.col(f"c{k}").alias("value")) for k in _CODES])).alias("x"))
-    return long.select("o_orderstatus", "x.code", F.col("x.value").cast("decimal(30,2)").cast("double").alias("value"))
+    value = F.col("x.value")
+    return long.select("o_orderstatus", "x.code", F.coalesce(value.try_cast("decimal(30,2)").cast("double"), value).alias("value"))
 
 
 @query("""

@@ -242,3 +242,25 @@ def test_query(spark, name):
         assert len(found) == len(expected)
         for a, b in zip(found, expected):
             assert all(x == y or isinstance(x, float) and isinstance(y, (int, float)) and math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a, b)), (a, b)
+
+
+def test_subtotals_of_many_orders(spark, tmp_path):
+    from cellweave.plans.catalogue import QUERIES
+
+    def values(rows):
+        spark.createDataFrame(rows, "o_orderstatus string, o_totalprice double").write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+        return {(r.o_orderstatus, r.code): r.value for r in QUERIES["subtotal_codes"](spark, str(tmp_path)).collect()}
+
+    got = values([("F", 9e9)] * 29 + [("O", 9e9)] * 400 + [("P", 250.25)] * 3)
+    assert len(got) == 33 and got["F", 6] == 1e29 and got["O", 6] is None and got["P", 9] == 750.75  # 1e29 is beyond decimal(30,2), 1e400 #NUM!
+    assert got["O", 9] == 3.6e12 and got["F", 4] == 9e9 and got["F", 2] == 29
+    got = values([("F", 1e29), ("F", 1e29), ("F", None)])
+    assert (got["F", 9], got["F", 4], got["F", 2]) == (2e29, 1e29, 2)
+
+
+def test_subtotal_sums_cents_exactly(spark, tmp_path):
+    from cellweave.plans.catalogue import QUERIES
+
+    spark.range(0, 300_000, 1, 1).selectExpr("'F' AS o_orderstatus", "249999999.1D + id % 3 / 10D AS o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    want = sum(24999999910 + k % 3 * 10 for k in range(300_000)) / 100
+    assert [r.value for r in QUERIES["subtotal_codes"](spark, str(tmp_path)).collect() if r.code == 9] == [want]
